@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +138,7 @@ class Automaton:
 class Codec:
     """Whole texts to ids and back, by the automaton of a byte-level BPE file."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if not tokens.splits_alone(spec):
@@ -148,21 +149,25 @@ class Codec:
         vocab = {raw(k): v for k, v in spec["model"]["vocab"].items() if k not in added}
         pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.automaton = Automaton(vocab, [(raw(a), raw(b)) for a, b in pairs])
-        self.cut = tokens.Cutter(added)
-        self.added, self.most, self.memo = added, memo, {}
+        self.cut, self.most = tokens.cutter(added), memo
+        self.own = {"\0\0" + k: v.to_bytes(4, "little") for k, v in added.items()}
+        self.words = dict(self.own)
+        self.encode = tokens.ChunkMemo(added, self._plain, self._plain).encode
         self.labels = dict(enumerate(self.automaton.label)) | {v: k.encode() for k, v in added.items()}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.cut(t) for t in texts]
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        if not self.memo:
-            self.memo |= {"\0\0" + k: np.array([v], "<u4").tobytes() for k, v in self.added.items()}
-        memo, walk = self.memo, self.automaton.encode
-        for w in set().union(*words) - memo.keys():
-            memo[w] = np.array(walk(w.encode("utf-8")), "<u4").tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids text by text; pre-tokens that came before are not walked again."""
+        if len(self.words) > self.most:
+            self.words = dict(self.own)
+        words, walk, out = self.words, self.automaton.encode, []
+        for text in texts:
+            ids = []
+            for w in self.cut(text):
+                if (x := words.get(w)) is None:
+                    x = words[w] = array("I", walk(w.encode("utf-8"))).tobytes()
+                ids.append(x)
+            out.append(b"".join(ids))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Arc labels in order; bytes that are not UTF-8 become U+FFFD."""

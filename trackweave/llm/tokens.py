@@ -1,16 +1,16 @@
 """Token ids by the tokenizers library, at corpus speed.
 
 A byte-level BPE file cuts a text at its added tokens and then into
-pre-tokens, and encodes every pre-token on its own.  So the library needs to
-see each different pre-token once: ``LibraryEncoder`` keeps the ids of those
-that it has met, as little-endian unsigned 32-bit bytes, in a bounded memo.
-Files of another kind go to the library text by text.
+pre-tokens, and encodes every pre-token on its own.  So each different piece
+needs to be encoded once: ``ChunkMemo`` keeps the ids of those that it has
+met.  Files of another kind go to the library text by text.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 import regex
@@ -39,32 +39,59 @@ def splits_alone(spec: dict) -> bool:
     )
 
 
-class Cutter:
-    """Whole texts into added tokens and pre-tokens."""
-
-    def __init__(self, added: dict[str, int]):
-        self.find = regex.compile(PRE_TOKEN).findall
-        self.added = added
-        names = sorted(added, key=len, reverse=True)
-        self.parts = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
-
-    def __call__(self, text: str) -> list[str]:
-        """Pre-tokens in order; an added token stands alone with a leading NUL pair."""
-        if self.parts is None or not any(a in text for a in self.added):
-            return self.find(text)
-        out: list[str] = []
-        for part in self.parts(text):
-            if part in self.added:
-                out.append("\0\0" + part)
-            else:
-                out += self.find(part)
+def cutter(added: dict[str, int]):
+    """A function that cuts a text into pre-tokens; an added token follows two NUL characters."""
+    find = regex.compile(PRE_TOKEN).findall
+    names = sorted(added, key=len, reverse=True)
+    parts = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
+
+    def cut(text: str) -> list[str]:
+        if parts is None or not any(a in text for a in names):
+            return find(text)
+        return [w for i, part in enumerate(parts(text)) for w in (["\0\0" + part] if i % 2 else find(part))]
+
+    return cut
+
+
+class ChunkMemo:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, each chunk encoded once.
+
+    A text is cut before its spaces and line feeds.  A chunk has the same
+    pre-tokens wherever it stands, as long as no run of white space reaches
+    over its edges; so a text with a chunk that is empty or has white space at
+    an edge goes the long way, as a whole.  encode and encode_chunks give the ids
+    of a list of strings; the memo is bounded and starts afresh when full.
+    """
+
+    def __init__(self, added: dict[str, int], encode, encode_chunks, most: int = 700_000):
+        self.added, self.plain, self.short, self.most = added, encode, encode_chunks, most
+        self.chunks: dict[str, bytes | None] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > self.most:
+            self.chunks.clear()
+        split = [[""] if any(a in t for a in self.added) else t.replace("\n", " \n").split(" ") for t in texts]
+        new = list(set().union(*(s[1:] for s in split)) - self.chunks.keys())
+        self.chunks.update(dict.fromkeys(new))
+        whole = [c for c in new if (d := c[1:] if c[:1] == "\n" else c) and not d[0].isspace() and not d[-1].isspace()]
+        self.chunks.update(zip(whole, self.short([c if c[0] == "\n" else " " + c for c in whole])))
+        get = self.chunks.__getitem__
+        out: list[bytes | None] = []
+        for s, head in zip(split, self.plain([s[0] for s in split])):
+            try:
+                out.append(None if not s[0] or s[0][-1].isspace() else head + b"".join(map(get, s[1:])))
+            except TypeError:  # a chunk without ids of its own
+                out.append(None)
+        long_way = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(long_way, self.plain([texts[i] for i in long_way])):
+            out[i] = x
         return out
 
 
 class LibraryEncoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """encode(texts) by the tokenizers library."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,27 +100,26 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.alone = splits_alone(spec)
-        self.most, self.memo = memo, {}
-        self.added = added_tokens(spec)
-        self.cut = Cutter(self.added)
+        self.encode = ChunkMemo(added_tokens(spec), self._whole, self._chunks, memo).encode if splits_alone(spec) else self._whole
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.alone:
-            return self._whole(texts)
-        words = [self.cut(t) for t in texts]
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        if not self.memo:
-            self.memo |= {"\0\0" + k: np.array([v], "<u4").tobytes() for k, v in self.added.items()}
-        memo = self.memo
-        new = list(set().union(*words) - memo.keys())
-        memo.update(zip(new, self._whole(new)))
-        get = memo.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of many chunks by one call: as the lines of one text, cut at the line feed's id.
+
+        A line feed between two chunks is a pre-token of its own, and chunks
+        hold none but at their front.
+        """
+        feed = self._whole(["\n"])[0]
+        if len(feed) != 4 or len(chunks) < 64:
+            return self._whole(chunks)
+        ids = self._whole(["".join(c if c[0] == "\n" else "\n" + c for c in chunks)])[0]
+        at = np.flatnonzero(np.frombuffer(ids, "<u4") == int.from_bytes(feed, "little")) * 4
+        if len(at) != len(chunks):
+            return self._whole(chunks)
+        ends = [*at[1:].tolist(), len(ids)]
+        return [ids[a if c[0] == "\n" else a + 4 : b] for c, a, b in zip(chunks, at.tolist(), ends)]
 
 
 def in_parts(texts: list[str], size: int = 2_000_000):
