@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, tokenbin
+from . import bpe, chat, exact, packing, simhash, tokenbin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,48 @@ def op4_token_store(spark, sf_dir):
     return tokenbin.store_and_index(table(spark, sf_dir, "documents"), end_id=0)
 
 
+def op2_chat_format(spark, sf_dir):
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op5_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, seed=42)
+
+
+def op10_exact_dedup(spark, sf_dir):
+    return exact.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_chat_format": op2_chat_format,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_token_store": op4_token_store,
+    "op5_simhash": op5_simhash,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS digest
+  FROM conversations),
+convs AS (SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS ds FROM rows GROUP BY conv_id),
+firsts AS (SELECT array_to_string(ds, '') AS whole, min(conv_id) AS conv_id FROM convs GROUP BY 1),
+steps AS (SELECT ds, unnest(range(1, len(ds))) AS k FROM convs),
+proper AS (SELECT DISTINCT array_to_string(ds[1:k], '') AS whole FROM steps),
+kept AS (SELECT conv_id FROM firsts WHERE whole NOT IN (SELECT whole FROM proper))
+SELECT r.conv_id, count(*) AS n_turns,
+       string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), ''
+                  ORDER BY turn NULLS FIRST, digest) AS rendered
+FROM rows r JOIN kept k ON r.conv_id IS NOT DISTINCT FROM k.conv_id
+GROUP BY r.conv_id
+""",
+    "op10_exact_dedup": """
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents),
+g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
+FROM t JOIN g ON t.norm = g.norm
+""",
+}
