@@ -60,7 +60,8 @@ class ChunkMemo:
     pre-tokens wherever it stands, as long as no run of white space reaches
     over its edges; so a text with a chunk that is empty or has white space at
     an edge goes the long way, as a whole.  encode and encode_chunks give the ids
-    of a list of strings; the memo is bounded and starts afresh when full.
+    of a list of strings.  The memo is bounded: when full it takes nothing new,
+    and starts afresh if most chunks are strange to it.
     """
 
     def __init__(self, added: dict[str, int], encode, encode_chunks, most: int = 700_000):
@@ -68,10 +69,12 @@ class ChunkMemo:
         self.chunks: dict[str, bytes | None] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > self.most:
-            self.chunks.clear()
         split = [[""] if any(a in t for a in self.added) else t.replace("\n", " \n").split(" ") for t in texts]
-        new = list(set().union(*(s[1:] for s in split)) - self.chunks.keys())
+        seen = set().union(*(s[1:] for s in split))
+        new = list(seen - self.chunks.keys())
+        if len(self.chunks) > self.most and 2 * len(new) > len(seen):  # other texts than those that filled the memo
+            self.chunks.clear()
+            new = list(seen)
         self.chunks.update(dict.fromkeys(new))
         whole = [c for c in new if (d := c[1:] if c[:1] == "\n" else c) and not d[0].isspace() and not d[-1].isspace()]
         self.chunks.update(zip(whole, self.short([c if c[0] == "\n" else " " + c for c in whole])))
@@ -85,6 +88,9 @@ class ChunkMemo:
         long_way = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(long_way, self.plain([texts[i] for i in long_way])):
             out[i] = x
+        if len(self.chunks) > self.most:  # full: the common chunks stay, the rest are not worth the room
+            for c in new:
+                del self.chunks[c]
         return out
 
 
@@ -114,7 +120,9 @@ class LibraryEncoder:
         feed = self._whole(["\n"])[0]
         if len(feed) != 4 or len(chunks) < 64:
             return self._whole(chunks)
-        ids = self._whole(["".join(c if c[0] == "\n" else "\n" + c for c in chunks)])[0]
+        lines = [c if c[0] == "\n" else "\n" + c for c in chunks]
+        step = 2000  # the library slows down on longer texts
+        ids = b"".join(self._whole(["".join(lines[i : i + step]) for i in range(0, len(lines), step)]))
         at = np.flatnonzero(np.frombuffer(ids, "<u4") == int.from_bytes(feed, "little")) * 4
         if len(at) != len(chunks):
             return self._whole(chunks)
