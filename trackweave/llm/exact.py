@@ -53,6 +53,7 @@ def _stream(spark: SparkSession, log: str, schema, scratch: Scratch, files: int)
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition takes 4 MB at once
     }
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
@@ -116,9 +117,18 @@ def dedup(docs: DataFrame, *, digest=None, files_per_batch: int = 4096) -> DataF
 
 
 def stays(docs: DataFrame) -> DataFrame:
-    """docs without the copies: the rows that ``dedup`` keeps, all columns."""
-    gone = dedup(docs).where(~F.col("kept"))
-    return without(docs, gone.select("doc_id"))
+    """docs without the copies: one row of each group of equal texts, all columns.
+
+    Where doc_id values repeat, rows are told apart by their text too.
+    """
+    scratch = Scratch(docs.sparkSession, "exact-stays")
+    found = scratch.keep(dedup(docs).select("doc_id", "kept", "text_sha256"), "verdicts")
+    if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return without(docs, found.where("NOT kept"))
+    marked = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).alias("d")
+    gone = found.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept")).where("NOT kept").alias("g")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._sha") == F.col("g.text_sha256"))
+    return marked.join(gone, same, "left_anti").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
