@@ -120,11 +120,16 @@ def test_exact_reads_files_in_place(spark, tmp_path):
     assert [r["group_size"] for r in none] == [2, 2] and sum(r["kept"] for r in none) == 1
 
 
-def test_stays_keeps_rows(spark):
-    docs = documents(spark)
-    kept = exact.stays(docs)
-    assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {w[1] for w in brute_exact(docs.select("doc_id", "text").collect())}
+def test_stays_keeps_rows(spark, tmp_path):
+    plain = documents(spark).where("doc_id < 50")
+    for docs in (plain, documents(spark, [(70, "once", "en"), (70, "once ", "en"), (70, "once", "en"), (71, "once", "en"), (71, "other", "en")])):
+        docs.repartition(3).write.mode("overwrite").parquet(str(tmp_path / "d"))
+        docs = spark.read.parquet(str(tmp_path / "d"))
+        kept = exact.stays(docs)
+        assert kept.columns == docs.columns
+        want = {(w[1], w[3]) for w in brute_exact(docs.select("doc_id", "text").collect())}
+        got = [(r["doc_id"], r["s"]) for r in kept.select("doc_id", F.sha2(exact.normalised(F.col("text")), 256).alias("s")).collect()]
+        assert sorted(got) == sorted(want)
 
 
 def test_chat(spark):

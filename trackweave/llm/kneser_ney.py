@@ -199,7 +199,10 @@ def _by_lang(limits: dict, k: int) -> Column:
 
 
 def keepers(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """docs without the rejected rows, all columns."""
+    """docs without the rejected rows, all columns.
+
+    Rows that share a doc_id go together, and only if all are rejected.
+    """
     from .exact import without
 
-    return without(docs, classify(docs, labels, **how).where("NOT kept").select("doc_id"))
+    return without(docs, classify(docs, labels, **how).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept"))

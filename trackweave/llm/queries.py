@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact, packing, simhash, tokenbin
+from . import bpe, chat, embed, exact, kneser_ney, langid, packing, phrases, simhash, tokenbin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,22 @@ def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, seed=42)
 
 
+def op6_embedding_graph(spark, sf_dir):
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"), reach=0.93)
+
+
+def op7_substring_dedup(spark, sf_dir):
+    return phrases.dedup(table(spark, sf_dir, "documents"), window=50)
+
+
+def op8_quality(spark, sf_dir):
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact.dedup(table(spark, sf_dir, "documents"))
 
@@ -43,6 +59,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_codec": op3_bpe_codec,
     "op4_token_store": op4_token_store,
     "op5_simhash": op5_simhash,
+    "op6_embedding_graph": op6_embedding_graph,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality": op8_quality,
+    "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

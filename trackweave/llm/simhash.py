@@ -140,3 +140,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, seed: int = 42) -> Dat
     named = scratch.keep(rooted.join(lowest, "root").select("fp", "component_id"), "named")
     scratch.drop("keys", "counted", "around")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, *, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """docs with one document of each component, the smallest doc_id; all columns.
+
+    Rows that share a doc_id go together, and only if none of them stays.
+    """
+    from .exact import without
+
+    found = near_duplicates(docs, shingle=shingle, seed=seed)
+    return without(docs, found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone"))
