@@ -176,7 +176,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, quanti
     scratch.drop("trusted")
     scored = score(docs, model)
     mean, limit = _by_lang(limits, 0), _by_lang(limits, 1)
-    over = (F.col("nll") - mean) / (0.03 + 1.0 / F.sqrt("n_symbols"))
+    over = (F.col("nll") - mean) / (0.03 + 1.0 / F.sqrt(F.greatest("n_symbols", F.lit(1))))
     kept = F.when(F.col("n_symbols") == 0, F.lit(keep_empty)).otherwise(F.col("excess") <= F.col("threshold"))
     scored = scored.withColumns({"excess": over, "threshold": limit, "perplexity": F.exp("nll")})
     return scored.select("doc_id", "lang", "n_symbols", "perplexity", "excess", "threshold", kept.alias("kept"))
