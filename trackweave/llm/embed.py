@@ -88,38 +88,39 @@ def build(x: np.ndarray, degree: int = 24, pool: int = 64, alpha: float = 1.2) -
 def search(x: np.ndarray, graph: list[np.ndarray], start: int, queries: np.ndarray, reach: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, found) pairs with similarity of at least ``reach``.
 
-    All queries walk together.  Each expands its best open node while that is
-    among its ``beam`` best or within a widened range of the threshold, so a
-    dense neighbourhood is followed to its end.
+    All queries walk together.  Each expands its best open node ``beam`` times,
+    and whatever lies within a widened range of the threshold at any time, so
+    that a dense neighbourhood is followed to its end.
     """
     n, q = len(x), len(queries)
     width = max(map(len, graph), default=0)
     table = np.full((n, max(width, 1)), -1, np.int64)
     for i, near in enumerate(graph):
         table[i, : len(near)] = near
+    small, asked = x.astype(np.float32), queries.astype(np.float32)
     sims = np.full((q, n), -2.0, np.float32)  # -2: not seen
     opened = np.full((q, n), -2.0, np.float32)  # similarity of open nodes, -2 once expanded
-    small = x.astype(np.float32)
-    first = queries.astype(np.float32) @ small[start]
-    sims[:, start] = opened[:, start] = first
-    active = np.arange(q)
+    sims[:, start] = opened[:, start] = asked @ small[start]
     wide = reach - 0.5 * (1 - reach) - 1e-6
-    while len(active):
-        at = opened[active].argmax(1)
-        best = opened[active, at]
-        kth = np.partition(sims[active], n - min(beam, n), axis=1)[:, n - min(beam, n)]
-        go = (best > -2) & ((best >= kth) | (best >= wide))
-        active, at = active[go], at[go]
-        if not len(active):
+    steps = 0
+    while True:
+        who, at = np.nonzero(opened >= wide)  # everything in the widened range at once
+        if steps < beam:  # and the best open node of the others
+            best = opened.argmax(1)
+            alone = opened[np.arange(q), best]
+            rest = np.flatnonzero((alone > -2) & (alone < wide))
+            who, at = np.concatenate([who, rest]), np.concatenate([at, best[rest]])
+        steps += 1
+        if not len(who):
             break
-        opened[active, at] = -2
-        near = table[at]
-        rows, cols = np.nonzero(near >= 0)
-        who, what = active[rows], near[rows, cols]
-        new = sims[who, what] == -2
-        who, what = who[new], what[new]
-        s = np.einsum("ij,ij->i", queries[who].astype(np.float32), small[what])
-        sims[who, what] = opened[who, what] = s
+        opened[who, at] = -2
+        for i in range(0, len(who), 8192):
+            near = table[at[i : i + 8192]]
+            rows, cols = np.nonzero(near >= 0)
+            pair = np.unique(who[i : i + 8192][rows] * n + near[rows, cols])
+            pair = pair[sims.ravel()[pair] == -2]
+            a, c = pair // n, pair % n
+            sims[a, c] = opened[a, c] = np.einsum("ij,ij->i", asked[a], small[c])
     return np.nonzero(sims >= reach - 1e-4)
 
 
@@ -155,62 +156,73 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(e.isNotNull() & F.col("label").isNotNull() & fine & F.exists(e, lambda c: c != 0))
 
 
-def _pivots(points: DataFrame, rows: int, fan: int, sample: int) -> dict[str, np.ndarray]:
-    """Pivots of every shard that is too large: spread-out members of a bounded sample."""
-    sizes = points.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > rows).collect()  # a row per large shard
+def _pivots(points: DataFrame, rows: int, overlap: int, fan: int, sample: int, tight: int) -> dict[str, tuple[np.ndarray, int]]:
+    """(pivots, how many of them a member joins) of every shard that is too large.
+
+    They are fitted to a bounded sample of the shard's members.  A shard that
+    takes several rounds joins one pivot, or two near a border, until its last
+    round, where members join ``overlap`` of them.  One narrow enough that all
+    its members are neighbours stays whole up to ``tight`` rows.
+    """
+    sizes = points.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > F.when(F.col("shard").endswith("!"), 4 * rows).otherwise(rows)).collect()
     out = {}
-    for r in sizes:
+    for r in sizes:  # a row per large shard
         some = points.where(F.col("shard") == r["shard"]).orderBy(F.xxhash64("cls", F.lit(len(r["shard"])))).limit(sample)
         x = unit(some.select("embedding").toPandas()["embedding"])
-        want = min(fan, -(-2 * r["n"] // rows), len(x))
+        centre = x.mean(0)
+        if np.sqrt(centre @ centre) > 0.96 and r["n"] <= tight:
+            continue
+        need = -(-2 * overlap * r["n"] // rows)
         picked = [0]
         near = x @ x[0]
-        while len(picked) < want:  # the member farthest from all pivots so far
+        while len(picked) < min(fan, need, len(x)):  # the member farthest from all pivots so far
             picked.append(int(near.argmin()))
             near = np.maximum(near, x @ x[picked[-1]])
         centres = x[picked]
-        for _ in range(8):  # a few rounds of spherical k-means on the sample
+        for _ in range(8):  # a few rounds of spherical k-means
             side = (x @ centres.T).argmax(1)
             for k in range(len(centres)):
                 if (side == k).any():
                     c = x[side == k].sum(0)
                     centres[k] = c / max(np.sqrt(c @ c), 1e-12)
-        out[r["shard"]] = centres
+        out[r["shard"]] = centres, overlap if need <= fan else 0
     return out
 
 
-def shards(classes: DataFrame, scratch: Scratch, rows: int, overlap: int, fan: int = 32, sample: int = 4000, most: int = 12) -> DataFrame:
-    """(shard, cls, embedding): overlapping shards of at most about ``rows`` classes.
-
-    A shard that cannot be split further, as all of its members sit at one
-    pivot, stays whole.
-    """
+def _deal(shared):
+    def deal(batches):
+        for pdf in batches:
+            names, back = pdf["shard"].to_numpy(), []
+            for name in set(names.tolist()):
+                mine = pdf[names == name]
+                if name not in shared.value:
+                    back.append(mine)
+                    continue
+                centres, take = shared.value[name]
+                s = unit(mine["embedding"]) @ centres.T
+                order = np.argsort(-s, axis=1)[:, : take or 2]
+                for k in range(order.shape[1]):
+                    at = np.arange(len(mine))
+                    if k and not take:
+                        at = np.flatnonzero(s[at, order[:, 0]] - s[at, order[:, k]] < 0.1)
+                    back.append(mine.iloc[at].assign(shard=[f"{name}/{c}{'!' if take else ''}" for c in order[at, k]]))
+            if back:
+                yield pd.concat(back)
+
+    return deal
+
+
+def shards(classes: DataFrame, scratch: Scratch, rows: int, overlap: int, fan: int = 64, sample: int = 4000, tight: int = 40_000, most: int = 6) -> DataFrame:
+    """(shard, cls, embedding): overlapping shards of about ``rows`` classes or fewer."""
     points = classes.select(F.concat(F.col("label").cast("string"), F.lit(":"), F.size("embedding").cast("string")).alias("shard"), "cls", "embedding")
     for level in range(most):
-        pivots = _pivots(points, rows, fan, sample)
-        pivots = {k: v for k, v in pivots.items() if len(v) > 1}
+        pivots = _pivots(points, rows, overlap, fan, sample, tight)
         if not pivots:
             break
         shared = scratch.spark.sparkContext.broadcast(pivots)  # fan pivots for each large shard
-
-        def deal(batches, shared=shared, take=overlap):
-            for pdf in batches:
-                names, back = pdf["shard"].to_numpy(), []
-                for name in set(names.tolist()):
-                    mine = pdf[names == name]
-                    centres = shared.value.get(name)
-                    if centres is None:
-                        back.append(mine)
-                        continue
-                    s = unit(mine["embedding"]) @ centres.T
-                    order = np.argsort(-s, axis=1)[:, :take]
-                    for k in range(order.shape[1]):
-                        back.append(mine.assign(shard=[f"{name}/{c}" for c in order[:, k]]))
-                if back:
-                    yield pd.concat(back)
-
-        points = scratch.keep(points.mapInPandas(deal, "shard string, cls long, embedding array<double>"), f"points-{level}")
-    return points.dropDuplicates(["shard", "cls"])
+        dealt = points.mapInPandas(_deal(shared), "shard string, cls long, embedding array<double>")
+        points = scratch.keep(dealt.dropDuplicates(["shard", "cls"]), f"points-{level}")
+    return points
 
 
 def audit(classes: DataFrame, links: DataFrame, reach: float, queries: int) -> float:
@@ -250,14 +262,14 @@ def near_duplicates(vectors: DataFrame, *, reach: float = 0.93, shard_rows: int
     grouped = usable(rows).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = scratch.keep(grouped.withColumn("cls", F.xxhash64("label", "embedding")), "classes")
     while True:
-        points = scratch.keep(shards(classes, scratch, shard_rows, overlap), "points")
+        points = shards(classes, scratch, shard_rows, overlap)
         near = points.groupBy("shard").applyInPandas(_build_shard, ADJACENT)
         united = near.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # overlap lists for each class
         united = scratch.keep(united, "graph")
         found = points.join(united, "cls").groupBy("shard").applyInPandas(_search_shard(reach, beam), LINKS).distinct()
         links = scratch.keep(found, "links")
         recall = audit(classes, links, reach, audited)
-        if recall >= target or overlap >= 24:
+        if recall >= target or overlap >= 12:
             break
         overlap, beam = overlap * 2, beam * 2
     rooted = components(links, scratch)
