@@ -1,0 +1 @@
+"""trackweave: group-movement analytics on GPS tracks, as PySpark DataFrames."""
