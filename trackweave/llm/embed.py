@@ -253,8 +253,8 @@ def audit(classes: DataFrame, links: DataFrame, reach: float, queries: int) -> f
     return 1.0 if not r["n"] else r["k"] / r["n"]
 
 
-def near_duplicates(vectors: DataFrame, *, reach: float = 0.93, shard_rows: int = 2000, overlap: int = 3, beam: int = 32,
-                    target: float = 0.97, audited: int = 128) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, reach: float = 0.93, shard_rows: int = 700, overlap: int = 4, beam: int = 32,
+                    target: float = 0.97, audited: int = 512) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall_audit) of every vector."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embed")
