@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schema import KEY, MEMBER, TICK, along, coords
 
@@ -42,8 +43,9 @@ def rolling_correlation(series: DataFrame, value: str = "v", window: int = 30) -
     both = F.col("p").isNotNull() & F.col("q").isNotNull()
     p, q = F.when(both, F.col("p")), F.when(both, F.col("q"))
     n = F.count(p).over(w)
-    moved = (F.stddev_pop(p).over(w) > 1e-9) & (F.stddev_pop(q).over(w) > 1e-9)
-    last = F.max("t").over(along(*MEMBER, "other").rowsBetween(-(1 << 31), 1 << 31)) + 1 - window
-    r = F.when((n > 1) & moved, F.corr(p, q).over(w))
+    sp, sq = F.stddev_pop(p).over(w), F.stddev_pop(q).over(w)
+    moved = (sp > 1e-9) & (sq > 1e-9)
+    last = F.max("t").over(along(*MEMBER, "other").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + 1 - window
+    r = F.when((n > 1) & moved, F.covar_pop(p, q).over(w) / F.when(moved, sp * sq))
     rolled = pairs.withColumns({"r": r, "_last": last}).where(F.col("t") < F.col("_last"))
     return rolled.groupBy(*KEY).agg(F.avg("r").alias("corr"))
