@@ -53,51 +53,94 @@ def cutter(added: dict[str, int]):
     return cut
 
 
+# Marks that make one pre-token when they end a chunk of letters.
+TAIL = ".,;:!?)]}$&%*#"
+
+
+class _Memo(dict):
+    """Looking up what is not there gives None and is noted in ``new``."""
+
+    def __init__(self):
+        self.new: dict[str, None] = {}
+
+    def __missing__(self, chunk: str) -> None:
+        self.new[chunk] = None
+
+
 class ChunkMemo:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, each chunk encoded once.
 
     A text is cut before its spaces and line feeds.  A chunk has the same
     pre-tokens wherever it stands, as long as no run of white space reaches
     over its edges; so a text with a chunk that is empty or has white space at
-    an edge goes the long way, as a whole.  encode and encode_chunks give the ids
-    of a list of strings.  The memo is bounded: when full it takes nothing new,
-    and starts afresh if most chunks are strange to it.
+    an edge goes the long way, as a whole.  A chunk of letters with marks at
+    its end is two pre-tokens, looked up on their own.  encode and
+    encode_chunks give the ids of a list of strings.  The memo is bounded:
+    when full it takes nothing new, and starts afresh if most of a batch is
+    strange to it.
     """
 
-    def __init__(self, added: dict[str, int], encode, encode_chunks, most: int = 700_000):
+    def __init__(self, added: dict[str, int], encode, encode_chunks, most: int = 1_000_000):
         self.added, self.plain, self.short, self.most = added, encode, encode_chunks, most
-        self.chunks: dict[str, bytes | None] = {}
+        self.chunks, self.tails = _Memo(), {}
+
+    def _learn(self, new) -> dict[str, bytes]:
+        """Ids of chunks that are not in the memo; without those that have none of their own."""
+        whole, ended, have = {}, [], self.chunks.get
+        for c in new:
+            body = c[1:] if c[:1] == "\n" else c
+            if not body or body[0].isspace() or body[-1].isspace():
+                continue
+            base = body.rstrip(TAIL)
+            if len(base) < len(body) and base.isalpha():
+                key = c[: len(c) - len(body) + len(base)]
+                ended.append((c, key, body[len(base) :]))
+                if have(key) is None:
+                    whole[key] = None
+            else:
+                whole[c] = None
+        found = dict(zip(whole, self.short([c if c[0] == "\n" else " " + c for c in whole])))
+        if ended:
+            tails = list({t for _, _, t in ended} - self.tails.keys())
+            if len(self.tails) > 100_000:
+                self.tails, tails = {}, list({t for _, _, t in ended})
+            self.tails.update(zip(tails, self.plain(tails)))
+            for c, key, t in ended:
+                found[c] = (have(key) or found[key]) + self.tails[t]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        memo = self.chunks
+        memo.new = {}
+        look = memo.__getitem__
         split = [[""] if any(a in t for a in self.added) else t.replace("\n", " \n").split(" ") for t in texts]
-        seen = set().union(*(s[1:] for s in split))
-        new = list(seen - self.chunks.keys())
-        if len(self.chunks) > self.most and 2 * len(new) > len(seen):  # other texts than those that filled the memo
-            self.chunks.clear()
-            new = list(seen)
-        self.chunks.update(dict.fromkeys(new))
-        whole = [c for c in new if (d := c[1:] if c[:1] == "\n" else c) and not d[0].isspace() and not d[-1].isspace()]
-        self.chunks.update(zip(whole, self.short([c if c[0] == "\n" else " " + c for c in whole])))
-        get = self.chunks.__getitem__
+        heads = [s[0] for s in split]
+        parts = [[b"", *map(look, s[1:])] for s in split]
+        found = self._learn(memo.new)
         out: list[bytes | None] = []
-        for s, head in zip(split, self.plain([s[0] for s in split])):
-            try:
-                out.append(None if not s[0] or s[0][-1].isspace() else head + b"".join(map(get, s[1:])))
-            except TypeError:  # a chunk without ids of its own
-                out.append(None)
+        for s, part, first, head in zip(split, parts, heads, self.plain(heads)):
+            fits = bool(first) and not first[-1].isspace()
+            part[0] = head
+            for i in [i for i, x in enumerate(part) if x is None]:
+                if (x := found.get(s[i])) is None:
+                    fits = False
+                    break
+                part[i] = x
+            out.append(b"".join(part) if fits else None)
         long_way = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(long_way, self.plain([texts[i] for i in long_way])):
             out[i] = x
-        if len(self.chunks) > self.most:  # full: the common chunks stay, the rest are not worth the room
-            for c in new:
-                del self.chunks[c]
+        if len(memo) < self.most:
+            memo.update(found)
+        elif 3 * len(memo.new) > sum(map(len, split)):
+            memo.clear()
         return out
 
 
 class LibraryEncoder:
     """encode(texts) by the tokenizers library."""
 
-    def __init__(self, path: str, memo: int = 700_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
