@@ -28,7 +28,7 @@ def headings(df: DataFrame, kind: str = "utm") -> DataFrame:
     return df.select(*MEMBER, "t", F.col(x).alias("x"), F.col(y).alias("y"), hx.alias("hx"), hy.alias("hy"))
 
 
-def flock_heading(df: DataFrame, kind: str = "utm") -> DataFrame:
+def group_heading(df: DataFrame, kind: str = "utm") -> DataFrame:
     """Unit heading (fx, fy) of the members' mean position."""
     x, y = coords(kind)
     c = df.groupBy(*TICK).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"))
@@ -49,9 +49,9 @@ def delays(df: DataFrame, kind: str = "utm", threshold: float = 10.0, window: in
     h = headings(df, kind)
     a = h.select(*PERIOD, "t", F.col("member_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("hx").alias("ahx"), F.col("hy").alias("ahy"))
     b = h.select(*PERIOD, "t", F.col("member_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("hx").alias("bhx"), F.col("hy").alias("bhy"))
-    both = a.join(b, TICK).where("a < b").join(flock_heading(df, kind), TICK)
-    along_flock = (F.col("ax") - F.col("bx")) * F.col("fx") + (F.col("ay") - F.col("by")) * F.col("fy")
-    near = F.coalesce(F.abs(along_flock) <= threshold, F.lit(False))
+    both = a.join(b, TICK).where("a < b").join(group_heading(df, kind), TICK)
+    along_group = (F.col("ax") - F.col("bx")) * F.col("fx") + (F.col("ay") - F.col("by")) * F.col("fy")
+    near = F.coalesce(F.abs(along_group) <= threshold, F.lit(False))
     w = Window.partitionBy(*PAIR).orderBy("t")
     frame = w.rowsBetween(0, window - 1)
     held = both.withColumn("near", near)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import breaks, clean, cluster, kinematics, leadership, pacs, regularity, smooth, spatial
 from ..schema import MEMBER, PERIOD
+from .scratch import Scratch
 
 HOW = {"mean": F.avg, "maxs": F.max, "mins": F.min, "meds": F.median, "vars": F.var_samp, "sum": F.sum, "var": F.var_samp}
 
@@ -58,69 +59,74 @@ def two_level(df: DataFrame, value: str, how: str, keys: list[str]) -> DataFrame
     return per.groupBy(*out).agg(F.avg("_v").alias("value"))
 
 
-def all_metrics(raw: DataFrame, smoothed: DataFrame, path: DataFrame, window: int = 100) -> dict[str, DataFrame]:
-    """Every series of CATALOGUE.  raw and smoothed are tracks; path is PACS output."""
-    v = kinematics.speeds(smoothed)
-    spread = kinematics.spread(v)
-    near, cells = pacs.neighbours(path), spatial.voronoi(raw)
+def all_metrics(raw: DataFrame, smoothed: DataFrame, path: DataFrame, window: int = 100, keep=lambda df, name: df) -> dict[str, DataFrame]:
+    """Every series of CATALOGUE.  raw and smoothed are tracks; path is PACS output.
+
+    keep(df, name) is asked to hold the series that several features share, or
+    that Python computes.
+    """
+    v = keep(kinematics.speeds(smoothed), "speed")
+    spread = keep(kinematics.spread(v), "spread")
+    near, cells = keep(pacs.neighbours(path), "near"), keep(spatial.voronoi(raw), "cells")
     return {
         "speed": v,
         "speed_var": spread,
         "speed_diff": spread,
         "acceleration": kinematics.accelerations(v),
         "centroid_distance": spatial.centroid_distance(raw),
-        "neighbour_distance": spatial.neighbour_distance(raw),
-        "hull": spatial.hull(raw),
+        "neighbour_distance": keep(spatial.neighbour_distance(raw), "neighbour"),
+        "hull": keep(spatial.hull(raw), "hull"),
         "voronoi_area": cells,
         "voronoi_ratio": cells,
         "length_width": pacs.length_width(path),
         "x_neighbour": near,
         "y_neighbour": near,
         "exploration": pacs.exploration(path),
-        "var_error": regularity.var_errors(path, window=window),
-        "varx_error": regularity.varx_errors(path, window=window),
+        "var_error": keep(regularity.var_errors(path, window=window), "var"),
+        "varx_error": keep(regularity.varx_errors(path, window=window), "varx"),
     }
 
 
-def _member_rows(raw: DataFrame, smoothed: DataFrame, path: DataFrame, window: int, rests: DataFrame | None) -> DataFrame:
-    """(squad_id, member_id, feature, value); features of the group as a whole have a null member."""
-    found, nobody = [], F.lit(None).cast(raw.schema["member_id"].dataType)
+def _stacked(df: DataFrame, names: dict[str, str], group: bool, member: str) -> DataFrame:
+    """(squad_id, member_id, feature, value) from columns; names: column -> feature."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(c).cast("double").alias("value")) for c, f in names.items()])
+    who = F.lit(None).cast(member) if group else F.col("member_id")
+    return df.select("squad_id", who.alias("member_id"), F.explode(pairs).alias("p")).select("squad_id", "member_id", "p.*")
 
-    def add(df: DataFrame, feature: str, value: str = "value", group: bool = False) -> None:
-        member = nobody if group else F.col("member_id")
-        found.append(df.select("squad_id", member.alias("member_id"), F.lit(feature).alias("feature"), F.col(value).cast("double").alias("value")))
 
-    series = all_metrics(raw, smoothed, path, window)
+def _blocks(raw: DataFrame, smoothed: DataFrame, path: DataFrame, window: int, rests: DataFrame | None, keep):
+    """(squad_id, member_id, feature, value) tables; features of the group as a whole have a null member."""
+    member = raw.schema["member_id"].dataType.simpleString()
+    series = all_metrics(raw, smoothed, path, window, keep)
     for m in CATALOGUE:
         keys = PERIOD if m.group else MEMBER
-        for feature, how in m.features:
-            add(two_level(series[m.name], m.value, how, keys), feature, group=m.group)
+        out = [k for k in keys if k != "period_id"]
+        per = series[m.name].groupBy(*keys).agg(*[HOW[how](m.value).alias(f) for f, how in m.features])
+        yield _stacked(per.groupBy(*out).agg(*[F.avg(f).alias(f) for f, _ in m.features]), {f: f for f, _ in m.features}, m.group, member)
         if m.entropy:
             name, low, high, bins = m.entropy
-            add(regularity.metric_entropy_mean(series[m.name], m.value, float(low), float(high), bins), name, "entropy", m.group)
-    late = leadership.delays(smoothed)
-    add(leadership.leadership(late), "Leadership", "leadership")
-    add(leadership.member_share(leadership.correlated_share(late)), "HCS", "hcs")
-    graph, nodes, periods = leadership.edges(late), raw.select("squad_id", "member_id").distinct(), raw.select(*PERIOD).distinct()
-    add(leadership.edit_distances(graph, nodes, periods).groupBy("squad_id").agg(F.avg("ratio").alias("value")), "lead_consist", group=True)
-    add(leadership.adjacency_change(graph, nodes, periods).groupBy("squad_id", "member_id").agg(F.avg("change").alias("value")), "lead_consist_adj")
+            yield _stacked(regularity.metric_entropy_mean(series[m.name], m.value, float(low), float(high), bins), {"entropy": name}, m.group, member)
+    late = keep(leadership.delays(smoothed), "delays")
+    yield _stacked(leadership.leadership(late), {"leadership": "Leadership"}, False, member)
+    yield _stacked(leadership.member_share(leadership.correlated_share(late)), {"hcs": "HCS"}, False, member)
+    graph, nodes, periods = keep(leadership.edges(late), "edges"), raw.select("squad_id", "member_id").distinct(), raw.select(*PERIOD).distinct()
+    edits = leadership.edit_distances(graph, nodes, periods).groupBy("squad_id").agg(F.avg("ratio").alias("value"))
+    yield _stacked(edits, {"value": "lead_consist"}, True, member)
+    change = leadership.adjacency_change(graph, nodes, periods).groupBy("squad_id", "member_id").agg(F.avg("change").alias("value"))
+    yield _stacked(change, {"value": "lead_consist_adj"}, False, member)
     for axis in "xy":
-        add(pacs.consistency_f(path, f"pacs_{axis}"), f"Ftest_{axis.upper()}_mean", "f")
-        add(pacs.consistency_wasserstein(path, f"pacs_{axis}"), f"Wass_{axis.upper()}_mean", "wasserstein")
+        yield _stacked(pacs.consistency_f(path, f"pacs_{axis}"), {"f": f"Ftest_{axis.upper()}_mean"}, False, member)
+        yield _stacked(pacs.consistency_wasserstein(path, f"pacs_{axis}"), {"wasserstein": f"Wass_{axis.upper()}_mean"}, False, member)
     entropy = regularity.place_entropy(path).groupBy("squad_id", "member_id").agg(F.avg("entropy").alias("value"))
-    add(entropy, "PACS_entropy")
+    yield _stacked(entropy, {"value": "PACS_entropy"}, False, member)
     for method, eps in CLUSTERINGS:
         labels = cluster.clusters(raw, method=method, epsilon=float(eps))
-        add(cluster.outlier_time(labels).groupBy("squad_id", "member_id").agg(F.sum("outlier_time").alias("value")), f"{method}_{eps}_outlier_time_sum")
-        if method == "HDBSCAN":
-            add(cluster.membership(labels), f"{method}_{eps}_membership_mean", "membership")
+        per = labels.groupBy(*MEMBER).agg(F.count_if(F.col("label") == -1).alias("o"), F.avg("prob").alias("p"))
+        both = per.groupBy("squad_id", "member_id").agg(F.sum("o").alias("o"), F.avg("p").alias("p"))
+        names = {"o": f"{method}_{eps}_outlier_time_sum"} | ({"p": f"{method}_{eps}_membership_mean"} if method == "HDBSCAN" else {})
+        yield _stacked(both, names, False, member)
     if rests is not None:
-        for feature in ("Rest_Count", "Rest_time", "Rest_percent"):
-            add(rests, feature, feature.lower(), True)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        yield _stacked(rests, {f.lower(): f for f in ("Rest_Count", "Rest_time", "Rest_percent")}, True, member)
 
 
 def feature_names(rests: bool = True) -> list[str]:
@@ -139,7 +145,9 @@ def feature_tables(raw: DataFrame, smoothed: DataFrame, path: DataFrame, rests:
     A group's own feature is the same for its members.  rests: (squad_id,
     rest_count, rest_time, rest_percent).
     """
-    long = _member_rows(raw, smoothed, path, window, rests)
+    scratch = Scratch(raw.sparkSession, "features")
+    raw, smoothed, path = scratch.keep(raw, "raw"), scratch.keep(smoothed, "smoothed"), scratch.keep(path, "path")
+    long = scratch.gather(_blocks(raw, smoothed, path, window, rests, scratch.keep), "long")
     names = feature_names(rests is not None)
     members = raw.select("squad_id", "member_id").distinct()
     own, group = long.where("member_id IS NOT NULL"), long.where("member_id IS NULL").drop("member_id")

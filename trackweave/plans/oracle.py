@@ -119,7 +119,7 @@ stepped AS (
         FROM moves WINDOW w AS (PARTITION BY squad_id, period_id, member_id ORDER BY t))),
 heads AS (
   SELECT squad_id, period_id, member_id, t, utm_x AS x, utm_y AS y, dx / CASE WHEN n > 0 THEN n END AS hx, dy / CASE WHEN n > 0 THEN n END AS hy FROM stepped),
-flock AS (
+crowd AS (
   SELECT squad_id, period_id, t, dx / CASE WHEN n > 0 THEN n END AS fx, dy / CASE WHEN n > 0 THEN n END AS fy
   FROM (SELECT *, sqrt(dx * dx + dy * dy) AS n
         FROM (SELECT *, cx - lag(cx) OVER w AS dx, cy - lag(cy) OVER w AS dy
@@ -129,7 +129,7 @@ pairs AS (
   SELECT a.squad_id, a.period_id, a.member_id AS a, b.member_id AS b, a.t, a.hx AS ahx, a.hy AS ahy, b.hx AS bhx, b.hy AS bhy,
          coalesce(abs((a.x - b.x) * f.fx + (a.y - b.y) * f.fy) <= 10, false) AS near
   FROM heads a JOIN heads b ON a.squad_id = b.squad_id AND a.period_id = b.period_id AND a.t = b.t AND a.member_id < b.member_id
-  JOIN flock f ON a.squad_id = f.squad_id AND a.period_id = f.period_id AND a.t = f.t),
+  JOIN crowd f ON a.squad_id = f.squad_id AND a.period_id = f.period_id AND a.t = f.t),
 windows AS (
   SELECT squad_id, period_id, a, b, t, count(*) OVER f AS size, bool_and(near) OVER f AS held,
          {_DOTS}
@@ -298,6 +298,12 @@ FROM (SELECT squad_id, lag(e) OVER (PARTITION BY squad_id ORDER BY coalesce(s, e
 WHERE start_ts <= end_ts""",
         STOPS,
     ),
+    "b9_arrival_order": sql(
+        """SELECT squad_id, anchor, member_id, CAST(row_number() OVER (PARTITION BY squad_id, anchor ORDER BY s, member_id) AS INT) AS arrival,
+  CAST(row_number() OVER (PARTITION BY squad_id, anchor ORDER BY e, member_id) AS INT) AS departure
+FROM (SELECT squad_id, anchor, member_id, min(start_ts) AS s, max(end_ts) AS e FROM sets GROUP BY 1, 2, 3)""",
+        STOPS,
+    ),
     "b10_velocity_slices": sql("SELECT squad_id, moving, run_start + 1 AS run_start, length - 2 AS length FROM runs WHERE length > 3", FLAGS),
     "b11_runs": sql("SELECT * FROM runs", FLAGS),
     "v1_speed": sql(f"SELECT {KEY}, {r('v')} FROM speed"),
@@ -359,7 +365,7 @@ FROM (SELECT a.squad_id, a.member_id, a.period_id AS p1, b.period_id AS p2, avg(
              row_number() OVER (PARTITION BY squad_id, period_id, member_id ORDER BY n) AS k FROM hist)""",
     ),
     "a12_histogram": sql("SELECT * FROM hist", histogram(0.0, 10.0, 20)),
-    "l2_l3_headings": sql(f"SELECT {KEY}, {r('hx')}, {r('hy')}, {r('fx')}, {r('fy')} FROM heads JOIN flock USING (squad_id, period_id, t)", DELAYS),
+    "l2_l3_headings": sql(f"SELECT {KEY}, {r('hx')}, {r('hy')}, {r('fx')}, {r('fy')} FROM heads JOIN crowd USING (squad_id, period_id, t)", DELAYS),
     "l5_delays": sql(f"SELECT squad_id, period_id, a, b, t, delay, {r('dot')} FROM delays", DELAYS),
     "l6_edges": sql(f"SELECT squad_id, period_id, src, dst, {r('weight')} FROM edges", DELAYS),
     "l7_leadership": sql(f"SELECT squad_id, member_id, {r('avg(delay)', 'leadership')} FROM samples GROUP BY 1, 2", DELAYS),
@@ -372,6 +378,17 @@ FROM edges e JOIN scores s USING (squad_id, period_id) JOIN scores t USING (squa
         DELAYS,
         "scores AS (SELECT squad_id, period_id, member_id, avg(delay) AS d FROM samples GROUP BY 1, 2, 3)",
     ),
+    "l10_simple_cycles": sql(
+        """SELECT squad_id, period_id, count(trail) FILTER (WHERE closed) AS cycles
+FROM (SELECT squad_id, period_id, NULL AS trail, false AS closed FROM edges UNION ALL SELECT squad_id, period_id, trail, closed FROM walks) GROUP BY 1, 2""",
+        DELAYS,
+        """walks AS (
+  SELECT squad_id, period_id, [src, dst] AS trail, false AS closed FROM edges WHERE dst > src
+  UNION ALL
+  SELECT w.squad_id, w.period_id, list_append(w.trail, e.dst), e.dst = w.trail[1]
+  FROM walks w JOIN edges e ON e.squad_id = w.squad_id AND e.period_id = w.period_id AND e.src = w.trail[-1]
+  WHERE NOT w.closed AND (e.dst = w.trail[1] OR (e.dst > w.trail[1] AND NOT list_contains(w.trail, e.dst))))""",
+    ),
     "l11_period_minutes": sql("SELECT squad_id, period_id, CAST((max(t) + 1) // 60 AS INT) AS minutes FROM moves GROUP BY 1, 2"),
     "l13_adjacency_change": sql(f"SELECT squad_id, p1, p2, member_id, {r('change')} FROM change", DELAYS),
     "l14_mean_change": sql(f"SELECT squad_id, member_id, {r('avg(change)', 'change')} FROM change GROUP BY 1, 2", DELAYS),

@@ -247,7 +247,8 @@ def b8_move_periods(spark, d):
 
 @query
 def b9_arrival_order(spark, d):
-    return breaks.arrival_order(slow_sets(spark, d).dropDuplicates(["squad_id", "anchor", "member_id"]).where("stop_id >= anchor"))
+    first = slow_sets(spark, d).groupBy("squad_id", "anchor", "member_id").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+    return breaks.arrival_order(first)
 
 
 @query
@@ -377,7 +378,7 @@ def a12_histogram(spark, d):
 @query
 def l2_l3_headings(spark, d):
     m = moves(spark, d)
-    return rounded(leadership.headings(m).drop("x", "y").join(leadership.flock_heading(m), TICK))
+    return rounded(leadership.headings(m).drop("x", "y").join(leadership.group_heading(m), TICK))
 
 
 @query

@@ -24,7 +24,8 @@ def load_tracks(spark: SparkSession, folder: str, header: list[str] | None = Non
     if header:
         raw = raw.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
     raw = raw.csv(folder)
-    squad = F.split(F.col("_metadata.file_name"), r"\.")[0]
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # names come percent-encoded
+    squad = F.split(name, r"\.")[0]
     raw = raw.select(squad.alias("squad_id"), *[F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns]).na.drop("any")
     given = {c.lower(): c for c in raw.columns}
     out = [F.col("squad_id"), F.col(f"`{given['member_id']}`").alias("member_id"), F.to_timestamp(F.col(f"`{given['time']}`")).alias("ts")]
