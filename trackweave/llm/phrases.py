@@ -36,7 +36,7 @@ from .common import Scratch, only, small_batches
 from .grams import texts_as_bytes
 
 ANCHOR = 16  # words of an anchor phrase
-SHARD = 1_000_000  # characters of phrases in an automaton
+SHARD = 400_000  # characters of phrases in an automaton
 LAST = (1 << 63) - 1  # stands for a null doc_id
 PRINTS = "doc_id long, id long, n_words long, sha string, key long, anchors array<long>, places array<int>"
 REMOVED = "id long, key long, n_removed long, kept_sha256 string, kept string"
@@ -49,13 +49,13 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and its inverse modulo 2 ** 64 for i < n."""
     if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = 1 << max(20, n.bit_length())
+        size = 1 << max(18, n.bit_length())
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             step = np.full(size, b, np.uint64)
             step[0] = 1
             made.append(np.multiply.accumulate(step))
-        if size > 1 << 23:
+        if size > 1 << 21:
             return made[0], made[1]
         _POWERS[base] = made[0], made[1]
     return _POWERS[base]
@@ -66,7 +66,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(text: bytes, block: int = 1 << 20) -> np.ndarray:
+def word_hashes(text: bytes, block: int = 1 << 18) -> np.ndarray:
     """A hash of each word of a text whose words are joined by one space."""
     out, at = [], 0
     while at < len(text):
@@ -124,7 +124,7 @@ def _joined(text: bytes) -> bytes:
     return b" ".join(text.split())
 
 
-def _grouped(texts: list[bytes], size: int = 1 << 20):
+def _grouped(texts: list[bytes], size: int = 1 << 18):
     """Runs [first, last) of texts of about size bytes."""
     first, total = 0, 0
     for i, t in enumerate(texts):
