@@ -25,6 +25,14 @@ def clusters(df: DataFrame, kind: str = "utm", method: str = "HDBSCAN", epsilon:
 
     Members count in the order of their ids.  DBSCAN has no prob.
     """
+    return clusterings(df, [(method, epsilon)], kind, min_cluster_size).drop("method", "epsilon")
+
+
+def clusterings(df: DataFrame, settings: list[tuple[str, float]], kind: str = "utm", min_cluster_size: int = 2) -> DataFrame:
+    """The same for several (method, epsilon) in one pass over the tracks, with both as columns."""
+    unknown = {m for m, _ in settings} - {"HDBSCAN", "DBSCAN"}
+    if unknown:
+        raise ValueError(f"unknown method: {', '.join(unknown)}")
     x, y = coords(kind)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
@@ -32,22 +40,26 @@ def clusters(df: DataFrame, kind: str = "utm", method: str = "HDBSCAN", epsilon:
         out = []
         for _, tick in pdf.sort_values(["t", "member_id"]).groupby("t"):
             p = tick[["_x", "_y"]].to_numpy(float)
-            label, prob = np.full(len(p), np.nan), np.full(len(p), np.nan)
-            if np.isfinite(p).all():
-                if method == "DBSCAN":
-                    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
-                    label = _dbscan(d <= epsilon, min_cluster_size)
-                elif method == "HDBSCAN":
-                    label, prob = density.hdbscan(p, min_cluster_size, 2, epsilon)
-                else:
-                    raise ValueError(method)
-                label = first_as_zero(label)
-            out.append(tick[KEY].assign(label=pd.array(label, dtype="Float64").astype("Int64"), prob=prob))
-        return pd.concat(out)
+            for method, epsilon in settings:
+                label, prob = np.full(len(p), np.nan), np.full(len(p), np.nan)
+                if np.isfinite(p).all():
+                    if method == "DBSCAN":
+                        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+                        label = _dbscan(d <= epsilon, min_cluster_size)
+                    else:
+                        label, prob = density.hdbscan(p, min_cluster_size, 2, epsilon)
+                    label = first_as_zero(label)
+                out.append((tick[KEY].to_numpy(dtype=object), method, float(epsilon), label, prob))
+        sizes = [len(k) for k, *_ in out]
+        rows = pd.DataFrame(np.concatenate([k for k, *_ in out]), columns=KEY)
+        rows["method"], rows["epsilon"] = np.repeat([m for _, m, *_ in out], sizes), np.repeat([e for _, _, e, *_ in out], sizes)
+        rows["label"] = pd.array(np.concatenate([v[3] for v in out]).astype(float), dtype="Float64").astype("Int64")
+        rows["prob"] = np.concatenate([v[4] for v in out])
+        return rows
 
     block = F.floor(F.col("t") / 512).alias("_block")
     rows = df.select(*KEY, metres(kind, x).alias("_x"), metres(kind, y).alias("_y"), block)
-    schema = ", ".join(f"{c} {types[c]}" for c in KEY) + ", label int, prob double"
+    schema = ", ".join(f"{c} {types[c]}" for c in KEY) + ", method string, epsilon double, label int, prob double"
     return no_nan(rows.groupBy(*PERIOD, "_block").applyInPandas(fit, schema))
 
 

@@ -40,13 +40,18 @@ def metric_entropy(df: DataFrame, value: str, low: float, high: float, bins: int
     """
     keys = keys or MEMBER
     h = histogram(df.where(F.col(value).isNotNull()), value, low, high, bins, keys)
-    total = h.groupBy(*keys).agg(F.sum("n").alias("_all"), (0.2 * F.stddev_pop("n")).alias("_r"))
+    return histogram_entropy(h, keys)
+
+
+def histogram_entropy(h: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from histograms with every bin: rows (keys, bin, n)."""
+    total = h.groupBy(*keys).agg(F.sum("n").alias("_all"), (0.2 * F.stddev_pop("n")).alias("_r"), F.count("*").cast("double").alias("_bins"))
     heights = h.groupBy(*keys, "n").agg(F.count("*").alias("k"))
     a = heights.join(total.where("_all > 0"), keys)
     b = heights.select(*keys, F.col("n").alias("n2"), F.col("k").alias("k2"))
     near = a.join(b, keys).where(F.abs(F.col("n") - F.col("n2")) <= F.col("_r"))
-    share = near.groupBy(*keys, "n", "k").agg((F.sum("k2") / float(bins)).alias("c"))
-    return share.groupBy(*keys).agg((-F.sum(F.col("k") * F.log("c")) / float(bins)).alias("entropy"))
+    share = near.groupBy(*keys, "n", "k", "_bins").agg((F.sum("k2") / F.col("_bins")).alias("c"))
+    return share.groupBy(*keys, "_bins").agg((-F.sum(F.col("k") * F.log("c")) / F.col("_bins")).alias("entropy")).drop("_bins")
 
 
 def metric_entropy_mean(df: DataFrame, value: str, low: float, high: float, bins: int = 100) -> DataFrame:

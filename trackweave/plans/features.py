@@ -103,9 +103,17 @@ def _blocks(raw: DataFrame, smoothed: DataFrame, path: DataFrame, window: int, r
         out = [k for k in keys if k != "period_id"]
         per = series[m.name].groupBy(*keys).agg(*[HOW[how](m.value).alias(f) for f, how in m.features])
         yield _stacked(per.groupBy(*out).agg(*[F.avg(f).alias(f) for f, _ in m.features]), {f: f for f, _ in m.features}, m.group, member)
-        if m.entropy:
-            name, low, high, bins = m.entropy
-            yield _stacked(regularity.metric_entropy_mean(series[m.name], m.value, float(low), float(high), bins), {"entropy": name}, m.group, member)
+    for group, keys in ((False, MEMBER), (True, PERIOD)):  # all entropies of a level in one pass
+        every = None
+        for m in CATALOGUE:
+            if m.entropy and m.group == group:
+                name, low, high, bins = m.entropy
+                rows = series[m.name].where(F.col(m.value).isNotNull())
+                h = pacs.histogram(rows, m.value, float(low), float(high), bins, keys).withColumn("feature", F.lit(name))
+                every = h if every is None else every.unionByName(h)
+        out = [k for k in keys if k != "period_id"]
+        mean = regularity.histogram_entropy(keep(every, f"histograms-{len(keys)}"), [*keys, "feature"]).groupBy(*out, "feature").agg(F.avg("entropy").alias("value"))
+        yield mean.select("squad_id", (F.lit(None).cast(member) if group else F.col("member_id")).alias("member_id"), "feature", "value")
     late = keep(leadership.delays(smoothed), "delays")
     yield _stacked(leadership.leadership(late), {"leadership": "Leadership"}, False, member)
     yield _stacked(leadership.member_share(leadership.correlated_share(late)), {"hcs": "HCS"}, False, member)
@@ -119,12 +127,12 @@ def _blocks(raw: DataFrame, smoothed: DataFrame, path: DataFrame, window: int, r
         yield _stacked(pacs.consistency_wasserstein(path, f"pacs_{axis}"), {"wasserstein": f"Wass_{axis.upper()}_mean"}, False, member)
     entropy = regularity.place_entropy(path).groupBy("squad_id", "member_id").agg(F.avg("entropy").alias("value"))
     yield _stacked(entropy, {"value": "PACS_entropy"}, False, member)
-    for method, eps in CLUSTERINGS:
-        labels = cluster.clusters(raw, method=method, epsilon=float(eps))
-        per = labels.groupBy(*MEMBER).agg(F.count_if(F.col("label") == -1).alias("o"), F.avg("prob").alias("p"))
-        both = per.groupBy("squad_id", "member_id").agg(F.sum("o").alias("o"), F.avg("p").alias("p"))
-        names = {"o": f"{method}_{eps}_outlier_time_sum"} | ({"p": f"{method}_{eps}_membership_mean"} if method == "HDBSCAN" else {})
-        yield _stacked(both, names, False, member)
+    labels = cluster.clusterings(raw, [(m, float(e)) for m, e in CLUSTERINGS])
+    per = labels.groupBy(*MEMBER, "method", "epsilon").agg(F.count_if(F.col("label") == -1).alias("o"), F.avg("prob").alias("p"))
+    both = keep(per.groupBy("squad_id", "member_id", "method", "epsilon").agg(F.sum("o").alias("o"), F.avg("p").alias("p")), "clusters")
+    stem = F.concat(F.col("method"), F.lit("_"), F.col("epsilon").cast("int").cast("string"))
+    yield both.select("squad_id", "member_id", F.concat(stem, F.lit("_outlier_time_sum")).alias("feature"), F.col("o").cast("double").alias("value"))
+    yield both.where("method = 'HDBSCAN'").select("squad_id", "member_id", F.concat(stem, F.lit("_membership_mean")).alias("feature"), F.col("p").alias("value"))
     if rests is not None:
         yield _stacked(rests, {f.lower(): f for f in ("Rest_Count", "Rest_time", "Rest_percent")}, True, member)
 

@@ -55,7 +55,7 @@ def tracks_from_events(events: DataFrame) -> DataFrame:
     the same doubles.
     """
     user = F.col("user_id")
-    tick = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200) / 3600).cast("int")
+    tick = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")
     g = events.groupBy((user % 3).cast("int").alias("squad_id"), (F.floor(user / 3) % 5).cast("int").alias("member_id"), tick.alias("tick")).agg(
         F.sum(F.round(F.col("value") * 100).cast("long")).cast("double").alias("c"),
         F.sum(F.get_json_object("props", "$.k").cast("long")).cast("double").alias("k"),
