@@ -94,7 +94,7 @@ def _stacked(df: DataFrame, names: dict[str, str], group: bool, member: str) ->
     return df.select("squad_id", who.alias("member_id"), F.explode(pairs).alias("p")).select("squad_id", "member_id", "p.*")
 
 
-def _blocks(raw: DataFrame, smoothed: DataFrame, path: DataFrame, window: int, rests: DataFrame | None, keep):
+def _blocks(raw: DataFrame, smoothed: DataFrame, path: DataFrame, window: int, rests: DataFrame | None, keep, leading: DataFrame):
     """(squad_id, member_id, feature, value) tables; features of the group as a whole have a null member."""
     member = raw.schema["member_id"].dataType.simpleString()
     series = all_metrics(raw, smoothed, path, window, keep)
@@ -114,7 +114,7 @@ def _blocks(raw: DataFrame, smoothed: DataFrame, path: DataFrame, window: int, r
         out = [k for k in keys if k != "period_id"]
         mean = regularity.histogram_entropy(keep(every, f"histograms-{len(keys)}"), [*keys, "feature"]).groupBy(*out, "feature").agg(F.avg("entropy").alias("value"))
         yield mean.select("squad_id", (F.lit(None).cast(member) if group else F.col("member_id")).alias("member_id"), "feature", "value")
-    late = keep(leadership.delays(smoothed), "delays")
+    late = keep(leadership.delays(leading), "delays")
     yield _stacked(leadership.leadership(late), {"leadership": "Leadership"}, False, member)
     yield _stacked(leadership.member_share(leadership.correlated_share(late)), {"hcs": "HCS"}, False, member)
     graph, nodes, periods = keep(leadership.edges(late), "edges"), raw.select("squad_id", "member_id").distinct(), raw.select(*PERIOD).distinct()
@@ -147,15 +147,16 @@ def feature_names(rests: bool = True) -> list[str]:
     return names + (["Rest_Count", "Rest_time", "Rest_percent"] if rests else [])
 
 
-def feature_tables(raw: DataFrame, smoothed: DataFrame, path: DataFrame, rests: DataFrame | None = None, section: str = "whole", window: int = 100) -> tuple[DataFrame, DataFrame]:
+def feature_tables(raw: DataFrame, smoothed: DataFrame, path: DataFrame, rests: DataFrame | None = None, section: str = "whole", window: int = 100, leading: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(individuals, squads): wide tables of the catalogue, columns suffixed by the section.
 
     A group's own feature is the same for its members.  rests: (squad_id,
-    rest_count, rest_time, rest_percent).
+    rest_count, rest_time, rest_percent).  leading: the tracks that leadership
+    is computed on, smoothed unless given.
     """
     scratch = Scratch(raw.sparkSession, "features")
     raw, smoothed, path = scratch.keep(raw, "raw"), scratch.keep(smoothed, "smoothed"), scratch.keep(path, "path")
-    long = scratch.gather(_blocks(raw, smoothed, path, window, rests, scratch.keep), "long")
+    long = scratch.gather(_blocks(raw, smoothed, path, window, rests, scratch.keep, smoothed if leading is None else scratch.keep(leading, "leading")), "long")
     names = feature_names(rests is not None)
     members = raw.select("squad_id", "member_id").distinct()
     own, group = long.where("member_id IS NOT NULL"), long.where("member_id IS NULL").drop("member_id")
