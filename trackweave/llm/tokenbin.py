@@ -198,7 +198,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # payloads are large
     return blocks.select("shard", "before", "payload").mapInArrow(run, RESULT)
 
 
