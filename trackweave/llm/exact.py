@@ -51,7 +51,9 @@ def _stream(spark: SparkSession, log: str, schema, scratch: Scratch, files: int)
     conf = {
         "spark.sql.streaming.stateStore.providerClass": ROCKS,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",  # each partition takes an eighth at once
+        "spark.sql.streaming.stateStore.maintenanceInterval": "5s",  # stores of a finished query are closed then
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition takes 4 MB at once
     }
