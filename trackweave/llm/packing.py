@@ -19,10 +19,9 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -151,8 +150,6 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = 1024,
     counts = np.zeros(capacity + 1, np.int64)
     for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
         counts[r["length"]] = r["n"]
-    from pyspark.sql import Window
-
     w = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = by_task.select("task", "length", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     before = scratch.keep(before, "before")
