@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry
-from ..schema import PERIOD, along, coords, metres
+from ..schema import PERIOD, coords, metres
 
 STOPS = "start_ts double, end_ts double, x double, y double"
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry
-from ..schema import KEY, TICK, coords
+from ..schema import KEY, TICK, coords, no_nan
 
 
 def centroid_distance(df: DataFrame, kind: str = "utm") -> DataFrame:
@@ -78,8 +78,6 @@ def voronoi(df: DataFrame, kind: str = "utm") -> DataFrame:
             out.append(tick[KEY].assign(area=areas, ratio=share))
         return pd.concat(out)
 
-    from ..schema import no_nan
-
     block = F.floor(F.col("t") / 512).alias("_block")
     schema = f"squad_id {df.schema['squad_id'].dataType.simpleString()}, period_id int, member_id {df.schema['member_id'].dataType.simpleString()}, t int, area double, ratio double"
     rows = df.select("squad_id", F.col("period_id").cast("int"), "member_id", F.col("t").cast("int"), x, y, block)

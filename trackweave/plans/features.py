@@ -7,10 +7,11 @@ period, then averaged over periods without weights, then over members.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import breaks, clean, cluster, kinematics, leadership, pacs, regularity, smooth, spatial
 from ..schema import MEMBER, PERIOD
@@ -28,7 +29,6 @@ class Metric:
     features: list[tuple[str, str]]
     entropy: tuple[str, float, float, int] | None = None
     group: bool = False
-    extra: dict = field(default_factory=dict)
 
 
 # Features, aggregates and histogram ranges of the catalogue.
@@ -178,8 +178,6 @@ def prepare(fixes: DataFrame, kind: str = "utm", threshold: float = 0.99, diamet
     columns = ["utm_x", "utm_y"] if kind == "utm" else ["longitude", "latitude"]
     tracks = clean.interpolate_tracks(grid, columns, threshold)
     stops = breaks.trajectory_stops(tracks, diameter, duration, kind)
-    from pyspark.sql.window import Window
-
     stops = stops.withColumn("stop_id", F.row_number().over(Window.partitionBy("squad_id").orderBy("start_ts", "member_id")))
     groups = breaks.group_stops(stops, tracks.select("squad_id", "member_id").distinct())
     recorded = tracks.groupBy("squad_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
