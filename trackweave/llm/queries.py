@@ -82,6 +82,20 @@ SELECT r.conv_id, count(*) AS n_turns,
                   ORDER BY turn NULLS FIRST, digest) AS rendered
 FROM rows r JOIN kept k ON r.conv_id IS NOT DISTINCT FROM k.conv_id
 GROUP BY r.conv_id
+""",
+    "op7_substring_dedup": """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM starts),
+owners AS (SELECT h, min(doc_id) AS owner FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN owners USING (h) WHERE owner < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+marked AS (SELECT a.doc_id, a.p, a.word, g.p IS NOT NULL AS out FROM words a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.p = g.p),
+counted AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE out) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT out), '') AS kept
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN counted USING (doc_id)
 """,
     "op10_exact_dedup": """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents),
