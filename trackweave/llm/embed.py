@@ -3,7 +3,9 @@
 Vectors are compared only within a label.  Equal vectors are one class from
 the start and count as often as they occur.  A label's classes are split
 into shards around pivots, each class joining the nearest shards, until a
-shard fits ``shard_rows``.  In each shard a flat graph is built by robust
+shard fits ``shard_rows``.  A group too narrow for pivots and too large for
+one shard is cut into blocks, and every block is compared with every block.
+In each other shard a flat graph is built by robust
 pruning; the adjacency lists of a class from all of its shards are united.
 Every class then searches the graph of each of its shards from the shard's
 medoid, greedily, and widens its search as long as the frontier is within
@@ -29,6 +31,7 @@ from .common import Scratch, components, only
 
 ADJACENT = "cls long, near array<long>"
 LINKS = "u long, v long"
+BLOCK = 4000  # classes of a block; blocks of a dense group are compared pair by pair
 
 
 def unit(column: pd.Series) -> np.ndarray:
@@ -150,27 +153,51 @@ def _search_shard(reach: float, beam: int, block: int = 256):
     return run
 
 
+def _compare_blocks(reach: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All links between two blocks, or inside one."""
+        k, i, j = map(int, pdf["shard"].iloc[0].rsplit("#", 1)[1].split(","))
+        x, ids = unit(pdf["embedding"]), pdf["cls"].to_numpy()
+        first = np.mod(ids, k) == i
+        one, two = (first, ~first) if i != j else (first, first)
+        a, b, y = ids[one], ids[two], x[two]
+        us, vs = [ids[:0]], [ids[:0]]
+        for at in range(0, len(a), 512):
+            q, f = np.nonzero(x[one][at : at + 512] @ y.T >= reach)
+            u, v = a[at + q], b[f]
+            ok = (u != v) if i != j else (u < v)
+            us.append(np.minimum(u[ok], v[ok]))
+            vs.append(np.maximum(u[ok], v[ok]))
+        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return run
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding")
     fine = F.forall(e, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return vectors.where(e.isNotNull() & F.col("label").isNotNull() & fine & F.exists(e, lambda c: c != 0))
 
 
-def _pivots(points: DataFrame, rows: int, overlap: int, fan: int, sample: int, tight: int) -> dict[str, tuple[np.ndarray, int]]:
+def _pivots(points: DataFrame, rows: int, overlap: int, fan: int, sample: int, tight: int) -> dict[str, tuple[np.ndarray, int] | int]:
     """(pivots, how many of them a member joins) of every shard that is too large.
 
     They are fitted to a bounded sample of the shard's members.  A shard that
     takes several rounds joins one pivot, or two near a border, until its last
     round, where members join ``overlap`` of them.  One narrow enough that all
-    its members are neighbours stays whole up to ``tight`` rows.
+    its members are neighbours stays whole up to ``tight`` rows; a larger one
+    has a number of blocks instead of pivots.
     """
-    sizes = points.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > F.when(F.col("shard").endswith("!"), 4 * rows).otherwise(rows)).collect()
+    open_ = points.where(~F.col("shard").contains("#"))
+    sizes = open_.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > F.when(F.col("shard").endswith("!"), 4 * rows).otherwise(rows)).collect()
     out = {}
     for r in sizes:  # a row per large shard
         some = points.where(F.col("shard") == r["shard"]).orderBy(F.xxhash64("cls", F.lit(len(r["shard"])))).limit(sample)
         x = unit(some.select("embedding").toPandas()["embedding"])
         centre = x.mean(0)
-        if np.sqrt(centre @ centre) > 0.96 and r["n"] <= tight:
+        if np.sqrt(centre @ centre) > 0.96:
+            if r["n"] > tight:
+                out[r["shard"]] = -(-r["n"] // BLOCK)
             continue
         need = -(-2 * overlap * r["n"] // rows)
         picked = [0]
@@ -198,6 +225,11 @@ def _deal(shared):
                 if name not in shared.value:
                     back.append(mine)
                     continue
+                if isinstance(shared.value[name], int):  # each block meets every block in a shard
+                    k = shared.value[name]
+                    own = np.mod(mine["cls"].to_numpy(), k)
+                    back += [mine.assign(shard=[f"{name}#{k},{min(b, o)},{max(b, o)}" for b in own.tolist()]) for o in range(k)]
+                    continue
                 centres, take = shared.value[name]
                 s = unit(mine["embedding"]) @ centres.T
                 order = np.argsort(-s, axis=1)[:, : take or 2]
@@ -263,10 +295,13 @@ def near_duplicates(vectors: DataFrame, *, reach: float = 0.93, shard_rows: int
     classes = scratch.keep(grouped.withColumn("cls", F.xxhash64("label", "embedding")), "classes")
     while True:
         points = shards(classes, scratch, shard_rows, overlap)
+        blocks = points.where(F.col("shard").contains("#"))
+        points = points.where(~F.col("shard").contains("#"))
         near = points.groupBy("shard").applyInPandas(_build_shard, ADJACENT)
         united = near.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # overlap lists for each class
         united = scratch.keep(united, "graph")
-        found = points.join(united, "cls").groupBy("shard").applyInPandas(_search_shard(reach, beam), LINKS).distinct()
+        found = points.join(united, "cls").groupBy("shard").applyInPandas(_search_shard(reach, beam), LINKS)
+        found = found.union(blocks.groupBy("shard").applyInPandas(_compare_blocks(reach), LINKS)).distinct()
         links = scratch.keep(found, "links")
         recall = audit(classes, links, reach, audited)
         if recall >= target or overlap >= 12:
