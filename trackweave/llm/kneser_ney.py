@@ -6,13 +6,12 @@ so the tables are bounded by symbols ** order.  n-gram counts of trusted
 texts, their continuation counts, context totals and discounts are counted
 and joined in Spark, hash-sharded by n-gram and context.  The joined table,
 at most symbols ** order floats, is broadcast and gives each document its
-perplexity over its whole text.  One half of the trusted sample trains; the
-other gives the threshold of each language, a high quantile of its
-perplexities, so that nearly all clean text stays.  Short texts scatter more,
-so the quantile is of the excess over the language's mean in units of
-1 / sqrt(length), besides a floor.
-
-The labelled sample is bounded: ``sample`` documents by hash order of doc_id.
+perplexity over its whole text.  One half of all trusted documents, by hash
+of doc_id, trains; the other gives the threshold of each language, a high
+quantile of its perplexities, so that nearly all clean text stays.  Short
+texts scatter more, so the quantile is of the excess over the language's mean
+in units of 1 / sqrt(length), besides a floor.  Quantiles are taken of all
+held-out documents, with the excess in steps of 1 / STEPS.
 
 Rows: null or empty text has perplexity null and is rejected only if
 ``keep_empty`` is false.  Repeated rows are scored alike.  A language with
@@ -33,6 +32,7 @@ from .common import Scratch, only, small_batches
 from .grams import blocks, segment_sums, texts_as_bytes
 
 ORDER, SYMBOLS = 4, 48
+STEPS = 10_000
 SCORES = "doc_id long, lang string, n_symbols long, nll double"
 
 
@@ -143,12 +143,40 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return only(docs, "doc_id", "text", "lang").mapInArrow(run, SCORES)
 
 
-def excess(nll, n, mean):
+def excess(nll: Column, n: Column, mean: Column) -> Column:
     """How far nats a symbol lie above a language's mean, in units that suit the length."""
-    return (nll - mean) / (0.03 + 1.0 / n**0.5)
+    return (nll - mean) / (0.03 + 1.0 / F.sqrt(F.greatest(n, F.lit(1))))
+
+
+def _limits(held: DataFrame, quantile: float, margin: float, floor: float) -> DataFrame:
+    """(lang, n, mean, limit) of each language in (lang, n_symbols, nll)."""
+    means = held.groupBy("lang").agg(F.count("*").alias("n"), (F.sum(F.col("nll") * F.col("n_symbols")) / F.sum("n_symbols")).alias("mean"))
+    means = means.withColumnRenamed("lang", "_lang")
+    over = held.join(F.broadcast(means), F.col("lang").eqNullSafe(F.col("_lang")))  # a row per language
+    over = over.withColumn("step", F.round(excess(F.col("nll"), F.col("n_symbols"), F.col("mean")) * STEPS))
+    steps = over.groupBy("lang", "n", "mean", "step").agg(F.count("*").alias("times"))
+    top = steps.groupBy("lang", "n", "mean").agg((F.percentile("step", F.lit(quantile), F.col("times")) / STEPS).alias("top"))
+    return top.select("lang", "n", "mean", F.greatest(F.lit(floor), F.lit(margin) * F.col("top")).alias("limit"))
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    words, slot = np.zeros(1024, np.uint64), pdf["slot"].to_numpy() & 65535
+    np.bitwise_or.at(words, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "words": [words.view(np.int64).tolist()]})
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, quantile: float = 0.998, margin: float = 1.25, floor: float = 2.0,
+def _maybe(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs that may be in ids (doc_id, h), by a bitmap of at most 16 MB: texts of few others are shuffled."""
+    slots = 1 << min(max(32 * ids.count(), 1 << 16).bit_length(), 27)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    bits = ids.select(slot.alias("slot")).withColumn("slice", F.expr("slot div 65536"))
+    bits = scratch.keep(bits.groupBy("slice").applyInPandas(_pack, "slice long, words array<long>"), "bits")
+    asked = docs.withColumn("_slot", slot).withColumn("slice", F.expr("_slot div 65536"))
+    met = asked.join(F.broadcast(bits), "slice").where("getbit(get(words, int((_slot % 65536) div 64)), int(_slot % 64)) = 1")
+    return met.select(*docs.columns)
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.998, margin: float = 1.25, floor: float = 2.0,
              least: int = 50, keep_empty: bool = True) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, excess, threshold, kept) of every document.
 
@@ -160,35 +188,29 @@ def classify(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, quanti
     scratch = Scratch(spark, "quality")
     trusted = only(labels, "doc_id", "quality", "toxic").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     trusted = trusted.where("doc_id IS NOT NULL AND q = 1 AND coalesce(t, 0) = 0").select("doc_id", F.xxhash64("doc_id").alias("h"))
-    chosen = scratch.keep(trusted.orderBy("h", "doc_id").limit(sample), "chosen")
-    texts = only(docs, "doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # sample rows at most
+    trusted = scratch.keep(trusted, "ids")
+    texts = _maybe(only(docs, "doc_id", "text", "lang"), trusted, scratch).join(trusted.hint("merge"), "doc_id")
     texts = scratch.keep(texts, "trusted")
     model = train(texts.where("h % 2 = 0").select("doc_id", "text"), scratch)
     if model is None:
         return only(docs, "doc_id", "lang", "text").selectExpr(
             "doc_id", "lang", "octet_length(coalesce(text, '')) + 0L AS n_symbols", "double(null) AS perplexity", "double(null) AS excess",
             "double(null) AS threshold", "true AS kept")
-    held = score(texts.where("h % 2 <> 0"), model).where("n_symbols > 0").toPandas()  # sample rows at most
-    limits = {None: _limit(held, quantile, margin, floor)}
-    for lang, rows in held.groupby("lang"):
-        if len(rows) >= least:
-            limits[lang] = _limit(rows, quantile, margin, floor)
+    held = score(texts.where("h % 2 <> 0"), model).where("n_symbols > 0").select("lang", "n_symbols", "nll")
+    held = scratch.keep(held, "held")
+    limits = {None: (0.0, float("inf"))}
+    pooled = _limits(held.withColumn("lang", F.lit(None).cast("string")), quantile, margin, floor)
+    for r in pooled.union(_limits(held.where("lang IS NOT NULL"), quantile, margin, floor).where(F.col("n") >= least)).collect():
+        limits[r["lang"]] = r["mean"], r["limit"]
     scratch.drop("trusted")
     scored = score(docs, model)
     mean, limit = _by_lang(limits, 0), _by_lang(limits, 1)
-    over = (F.col("nll") - mean) / (0.03 + 1.0 / F.sqrt(F.greatest("n_symbols", F.lit(1))))
+    over = excess(F.col("nll"), F.col("n_symbols"), mean)
     kept = F.when(F.col("n_symbols") == 0, F.lit(keep_empty)).otherwise(F.col("excess") <= F.col("threshold"))
     scored = scored.withColumns({"excess": over, "threshold": limit, "perplexity": F.exp("nll")})
     return scored.select("doc_id", "lang", "n_symbols", "perplexity", "excess", "threshold", kept.alias("kept"))
 
 
-def _limit(rows: pd.DataFrame, quantile: float, margin: float, floor: float) -> tuple[float, float]:
-    if not len(rows):
-        return 0.0, float("inf")
-    mean = float(np.average(rows["nll"], weights=rows["n_symbols"]))
-    return mean, max(floor, margin * float(np.quantile(excess(rows["nll"], rows["n_symbols"], mean), quantile)))
-
-
 def _by_lang(limits: dict, k: int) -> Column:
     out = None
     for lang, pair in limits.items():
