@@ -28,3 +28,12 @@ def test_large_narrow_group_is_compared_whole(spark, monkeypatch):
     assert len(true) > 100_000 and met == true
     got = points.groupBy("shard").applyInPandas(embed._compare_blocks(0.93), embed.LINKS).collect()
     assert len(got) == len(true) and {(r["u"], r["v"]) for r in got} == true
+
+
+def test_recall_is_reached_after_the_last_pass(spark):
+    """Three dense groups in a label, with an overlap that needs more pivots than a round has and no pass left."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([group(rng, 300) for _ in range(3)])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embed.near_duplicates(df, shard_rows=60, overlap=16, beam=1, audited=128).select("n_links", "recall_audit").collect()
+    assert sum(r["n_links"] for r in got) >= 2 * 0.97 * len(close(x)) and got[0]["recall_audit"] >= 0.97

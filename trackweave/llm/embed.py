@@ -11,7 +11,9 @@ Every class then searches the graph of each of its shards from the shard's
 medoid, greedily, and widens its search as long as the frontier is within
 reach of the threshold; what it finds is verified in double precision.  An
 audit compares a stated sample of queries with brute force over all rows; if
-the recall is below the target, shards overlap more and beams widen.
+the recall is below the target, shards overlap more and beams widen; links of
+all passes count.  If that does not reach the target either, all pairs of
+blocks of a label are compared.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite
 components, and vectors without label, link with nothing and are their own
@@ -173,6 +175,15 @@ def _compare_blocks(reach: float):
     return run
 
 
+def _all_links(classes: DataFrame, reach: float) -> DataFrame:
+    """Every link, by comparing all pairs of blocks of each label."""
+    points = classes.select(F.concat(F.col("label").cast("string"), F.lit(":"), F.size("embedding").cast("string")).alias("shard"), "cls", "embedding")
+    sizes = points.groupBy("shard").agg(F.count("*").alias("n")).collect()  # a row per label
+    shared = classes.sparkSession.sparkContext.broadcast({r["shard"]: -(-r["n"] // BLOCK) for r in sizes})
+    dealt = points.mapInPandas(_deal(shared), "shard string, cls long, embedding array<double>")
+    return dealt.groupBy("shard").applyInPandas(_compare_blocks(reach), LINKS).distinct()
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding")
     fine = F.forall(e, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
@@ -212,7 +223,8 @@ def _pivots(points: DataFrame, rows: int, overlap: int, fan: int, sample: int, t
                 if (side == k).any():
                     c = x[side == k].sum(0)
                     centres[k] = c / max(np.sqrt(c @ c), 1e-12)
-        out[r["shard"]] = centres, overlap if need <= fan else 0
+        last = need <= fan or overlap * r["n"] <= 2 * rows * fan  # its shards stay below the 4 * rows of a last round
+        out[r["shard"]] = centres, overlap if last else 0
     return out
 
 
@@ -293,6 +305,7 @@ def near_duplicates(vectors: DataFrame, *, reach: float = 0.93, shard_rows: int
     rows = only(vectors, "vec_id", "embedding", "label").withColumn("embedding", F.expr("transform(embedding, x -> double(x) + 0.0D)"))
     grouped = usable(rows).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = scratch.keep(grouped.withColumn("cls", F.xxhash64("label", "embedding")), "classes")
+    links, turn = None, 0
     while True:
         points = shards(classes, scratch, shard_rows, overlap)
         blocks = points.where(F.col("shard").contains("#"))
@@ -302,9 +315,13 @@ def near_duplicates(vectors: DataFrame, *, reach: float = 0.93, shard_rows: int
         united = scratch.keep(united, "graph")
         found = points.join(united, "cls").groupBy("shard").applyInPandas(_search_shard(reach, beam), LINKS)
         found = found.union(blocks.groupBy("shard").applyInPandas(_compare_blocks(reach), LINKS)).distinct()
-        links = scratch.keep(found, "links")
-        recall = audit(classes, links, reach, audited)
-        if recall >= target or overlap >= 12:
+        links = scratch.keep(found if links is None else links.union(found).distinct(), f"links-{turn}")  # of all passes
+        recall, turn = audit(classes, links, reach, audited), turn + 1
+        if recall >= target:
+            break
+        if overlap >= 12:  # still short: every block of every label with every block
+            links = scratch.keep(_all_links(classes, reach), f"links-{turn}")
+            recall = audit(classes, links, reach, audited)
             break
         overlap, beam = overlap * 2, beam * 2
     rooted = components(links, scratch)
