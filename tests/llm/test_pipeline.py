@@ -9,9 +9,10 @@ import corpus_pipeline
 from trackweave.llm import kneser_ney, phrases
 
 from .fixtures import documents
-from .test_dedup import brute_exact, brute_fingerprint, smallest_reachable
+from .test_dedup import brute_exact
 from .test_models import corpus
 from .test_phrases import brute, passages
+from .test_resemblance import brute_roots
 from .test_tokens import ids_of, library  # noqa: F401
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,9 +38,7 @@ def brute_stages(before):
     """What exact, near and substring dedup leave of {doc_id: text}, one after another."""
     exact = {i: before[i] for i in {w[1] for w in brute_exact(before.items())}}
     yield exact
-    fp = {i: brute_fingerprint(t) for i, t in exact.items()}
-    root = smallest_reachable(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2])
-    near = {i: exact[i] for i in set(root.values())}
+    near = {i: exact[i] for i in set(brute_roots(exact).values())}
     yield near
     yield {w[0]: (near[w[0]] if not w[2] else w[4]) for w in brute(list(near.items()), 50)}
 

@@ -9,24 +9,36 @@ ends.
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LEFT: list = []
+_OWN: list[str] = []
+SLOTS = 1 << 27  # bits of a membership bitmap at most: 16 MB
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Unset, a local session, whose driver is its only machine, gets a folder of
+    its own; on a cluster that folder would be out of reach, so it is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="trackweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix=f"trackweave-{os.getpid()}-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -67,9 +79,19 @@ class Scratch:
             _delete(self.spark, self.path(name))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows: whole texts go to Python in bounded pieces."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": f"{16 << 20}b"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows and some 16 MB: whole texts go to Python in bounded pieces.
+
+    A query reads the setting when it runs, which is after its plan was
+    returned, so it stays set; a stricter one is left alone.
+    """
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, most).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) < int(most.rstrip("b")):
+            spark.conf.set(key, most)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -81,6 +103,43 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names)])
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with the column names _0, _1 and so on: whatever names its user chose, ours cannot clash with them."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def hits(rows: DataFrame, key: Column, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """rows with a boolean ``hit``: false only if the hash ``key`` is none of the longs in ``ids`` (h).
+
+    Rows that miss need no shuffle to be told from those of ids.  The bitmap
+    has 32 bits for each id and SLOTS at most; a fuller one only lets more
+    rows pass.  A null key is no hit.
+    """
+    slots = 1 << min(max(32 * ids.count(), 1 << 15).bit_length(), SLOTS.bit_length() - 1)
+    slot = F.pmod(ids["h"], F.lit(slots))
+    bits = ids.select((F.floor(slot / 32768)).alias("slice"), (slot % 32768).alias("at"))
+    bits = scratch.keep(bits.groupBy("slice").agg(F.bitmap_construct_agg("at").alias("bits")), name)  # 4096 rows of 4 kB at most
+    asked = rows.withColumn("slot", F.pmod(key, F.lit(slots)))
+    met = asked.join(F.broadcast(bits), F.floor(F.col("slot") / 32768) == F.col("slice"), "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, int((slot % 32768) div 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(byte, int(slot % 8)) & 1 = 1"), F.lit(False))
+    return met.withColumn("byte", byte).withColumn("hit", hit).select(*rows.columns, "hit")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, all columns and whatever their names, less the rows whose doc_id is in gone.
+
+    Rows without doc_id stay; repeated ones go together.  Only rows that may
+    be gone are shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "without")
+    ids = scratch.keep(gone.select(F.col("doc_id").alias("gone")).where("gone IS NOT NULL").distinct(), "gone")
+    own = F.col(f"_{docs.columns.index('doc_id')}")
+    asked = hits(plain(docs), F.when(own.isNotNull(), F.xxhash64(own.cast("long"))), ids.select(F.xxhash64(F.col("gone").cast("long")).alias("h")), scratch, "bits")
+    left = asked.where("hit").join(ids, own == F.col("gone"), "left_anti")
+    return asked.where("NOT hit").union(left).drop("hit").toDF(*docs.columns)
+
+
 def _contract(batches):
     """Links of one partition as a star forest (node, smallest node reached)."""
     parts = [b for b in batches if len(b)]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import Scratch, only
+from .common import Scratch, hits, only, plain, without
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -90,9 +90,10 @@ def dedup(docs: DataFrame, *, digest=None, files_per_batch: int = 4096) -> DataF
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
-    source = located(docs, scratch).withColumn("norm", normalised(F.col("text")))
-    sha = F.sha2("norm", 256)
-    log = source.select("doc_id", "file", "row", sha.alias("text_sha256"), (digest(F.col("norm")) if digest else sha).alias("digest"))
+    source = located(docs, scratch)
+    norm = normalised(F.col("text"))
+    log = source.select("doc_id", "file", "row", norm.alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
+    log = log.select("doc_id", "file", "row", "text_sha256", (digest(F.col("norm")) if digest else F.col("text_sha256")).alias("digest"))
     log = scratch.keep(log, "log")
     if log.isEmpty():
         return log.selectExpr("doc_id", "doc_id AS keep_id", "1L AS group_size", "true AS kept", "text_sha256")
@@ -101,8 +102,12 @@ def dedup(docs: DataFrame, *, digest=None, files_per_batch: int = 4096) -> DataF
     own = scratch.keep(own, "own")
     single = own.where("n = 1").selectExpr("doc_id", "doc_id AS keep_id", "1L AS group_size", "true AS kept", "text_sha256")
     multi = own.where("n > 1").select("doc_id", "file", "row", "text_sha256", "digest", "first")
-    texts = multi.join(source.select("file", "row", "norm"), ["file", "row"])
+    # only texts of hits are fetched and shuffled
+    place = F.xxhash64("file", "row")
+    fetched = hits(source.select("file", "row", "text"), place, multi.select(place.alias("h")), scratch, "places").where("hit")
+    texts = multi.join(fetched.select("file", "row", norm.alias("norm")), ["file", "row"])
     texts = scratch.keep(texts, "multi")
+    scratch.drop("log", "state", "updates")
     # full bytes against those of the copy that stays
     firsts = texts.where("file = first.file AND row = first.row").select(F.col("digest"), F.col("norm").alias("held"))
     firsts = scratch.keep(firsts, "firsts")
@@ -121,18 +126,15 @@ def dedup(docs: DataFrame, *, digest=None, files_per_batch: int = 4096) -> DataF
 def stays(docs: DataFrame) -> DataFrame:
     """docs without the copies: one row of each group of equal texts, all columns.
 
-    Where doc_id values repeat, rows are told apart by their text too.
+    Where doc_id values repeat or are null, rows are told apart by their text
+    too.  Columns may have any names.  An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "exact-stays")
     found = scratch.keep(dedup(docs).select("doc_id", "kept", "text_sha256"), "verdicts")
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return without(docs, found.where("NOT kept"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).alias("d")
-    gone = found.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept")).where("NOT kept").alias("g")
-    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._sha") == F.col("g.text_sha256"))
-    return marked.join(gone, same, "left_anti").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in gone (null ids stay)."""
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    own, text = (F.col(f"_{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    marked = plain(docs).withColumns({"own": own, "sha": F.sha2(normalised(text), 256)})
+    gone = found.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept")).where("NOT kept")
+    same = F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256"))
+    return marked.join(gone, same, "left_anti").dropDuplicates(["own", "sha"]).drop("own", "sha").toDF(*docs.columns)

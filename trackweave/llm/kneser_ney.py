@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, small_batches
+from .common import Scratch, only, small_batches, without
 from .grams import blocks, segment_sums, texts_as_bytes
 
 ORDER, SYMBOLS = 4, 48
@@ -225,6 +225,4 @@ def keepers(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
     Rows that share a doc_id go together, and only if all are rejected.
     """
-    from .exact import without
-
     return without(docs, classify(docs, labels, **how).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept"))

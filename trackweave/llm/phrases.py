@@ -5,26 +5,27 @@ documents with different ids, and the smallest of them owns it.  Steps:
 
 1. One pass hashes words and picks anchors: of the 16-word phrases in each
    window the one with the smallest hash.  What anchor a window gets depends
-   on its words alone, so a recurring window has a recurring anchor.
+   on its words alone, so a recurring window has a recurring anchor, and a
+   document without recurring anchors holds no recurring window.
 2. Documents with equal words are one document from here on: all words of a
    copy go if there are enough for a window.
-3. Windows around recurring anchors are confirmed by 128-bit hashes, which
-   also gives their owners.
-4. Runs of confirmed windows with one owner are recurring passages.  They are
-   cut into phrases of one to two windows; Aho-Corasick automata of bounded
-   size, one set for each shard of documents with the passages that concern
-   it, locate every occurrence in the shard's documents as they stream by.
-   A found phrase goes where its owner is a smaller document.
+3. Windows around recurring anchors are counted by 128-bit hashes.  That tells
+   which recur, who owns them and where the owner has them; runs of them make
+   a document's claims on passages of other documents.
+4. The claimed passages are cut out of their owners' texts, in phrases of one
+   to two windows.  Aho-Corasick automata of bounded size are compiled from
+   them, shard by shard, and the documents of the shard stream by.  What goes
+   is what an automaton finds, character by character, where the phrase's
+   owner is a smaller document; a hash alone removes nothing.
 
 Rows: null text has no words.  A null doc_id counts as larger than any other
 and is never smaller than another null.  Rows that repeat doc_id and text
 fare alike; with one doc_id and different texts neither is the smaller one.
-An empty table gives no rows; other columns are ignored.
+An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -32,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, small_batches
+from .common import Scratch, hits, only, plain, small_batches
 from .grams import texts_as_bytes
 
 ANCHOR = 16  # words of an anchor phrase
 SHARD = 400_000  # characters of phrases in an automaton
 LAST = (1 << 63) - 1  # stands for a null doc_id
-PRINTS = "doc_id long, id long, n_words long, sha string, key long, anchors array<long>, places array<int>"
+PRINTS = "doc_id long, id long, raw string, n_words long, sha string, key long, anchors array<long>, places array<int>"
 REMOVED = "id long, key long, n_removed long, kept_sha256 string, kept string"
 
 _SEED = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,8 +140,8 @@ def _grouped(texts: list[bytes], size: int = 1 << 18):
 def _prints(window: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            texts = [_joined(t) for t in texts_as_bytes(batch.column(1))]
+            ids, raw = batch.column(0), texts_as_bytes(batch.column(1))
+            texts = [_joined(t) for t in raw]
             counts = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
             digests = [hashlib.sha256(t).digest() for t in texts]
             places, hashes, sizes = [], [], []
@@ -159,6 +160,7 @@ def _prints(window: int):
                 [
                     ids,
                     ids.fill_null(LAST),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()),
                     pa.array(counts),
                     pa.array([d.hex() for d in digests], pa.string()),
                     pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
@@ -171,21 +173,19 @@ def _prints(window: int):
     return run
 
 
-def _candidates(batches):
-    """Joined words of the texts whose digest is the wanted one."""
+def _keyed(batches):
+    """(id, key, words): the joined words of each text and the start of their digest."""
     for batch in batches:
-        keys = batch.column(1).to_pylist()
-        texts = [_joined(t) for t in texts_as_bytes(batch.column(2))]
-        same = [int.from_bytes(hashlib.sha256(t).digest()[:8], "little", signed=True) == k for t, k in zip(texts, keys)]
-        words = pa.array(texts, pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, batch.column(3)], ["id", "key", "words", "places"]).filter(pa.array(same))
+        texts = [_joined(t) for t in texts_as_bytes(batch.column(1))]
+        keys = [int.from_bytes(hashlib.sha256(t).digest()[:8], "little", signed=True) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "key", "words"])
 
 
 def _windows(window: int):
     size = min(ANCHOR, window)
 
     def run(batches):
-        """(h1, h2, id, place) of windows around anchors; place holds a part of the key above 32 bits."""
+        """(h1, h2, id, place) of windows around anchors; place holds a part of the key above 32 bits, see _part."""
         for batch in batches:
             ids, keys, places = (batch.column(k).to_pylist() for k in (0, 1, 3))
             for i, text in enumerate(texts_as_bytes(batch.column(2))):
@@ -205,16 +205,47 @@ def _windows(window: int):
     return run
 
 
-def passages(at: np.ndarray, owner: np.ndarray, window: int):
-    """(first word, end word, owner) of phrases of one to two windows that cover runs of windows."""
+def passages(at: np.ndarray, owner: np.ndarray, source: np.ndarray, window: int):
+    """(owner, first word, end word) in the owners of phrases of one to two windows.
+
+    Window ``at`` of a document is window ``source`` of its owner; the phrases
+    cover each run of windows that follow each other in both.
+    """
     order = np.argsort(at)
-    at, owner = at[order], owner[order]
-    breaks = np.flatnonzero((np.diff(at) != 1) | (owner[1:] != owner[:-1])) + 1
+    at, owner, source = at[order], owner[order], source[order]
+    breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(source) != 1) | (owner[1:] != owner[:-1])) + 1
     for run in np.split(np.arange(len(at)), breaks):
-        begin, end = int(at[run[0]]), int(at[run[-1]]) + window
+        begin, end = int(source[run[0]]), int(source[run[-1]]) + window
         pieces = (end - begin) // window
         for k in range(pieces):
-            yield begin + k * window, end if k == pieces - 1 else begin + (k + 1) * window, int(owner[run[0]])
+            yield int(owner[run[0]]), begin + k * window, end if k == pieces - 1 else begin + (k + 1) * window
+
+
+def _claims(window: int):
+    def run(batches):
+        """(id, part, owner, begin, end) from the recurring windows of a document; begin holds the owner's part above 32 bits."""
+        for batch in batches:
+            out = [
+                (i, part, *phrase)
+                for i, part, found in zip(*(batch.column(k).to_pylist() for k in range(3)))
+                for phrase in set(passages(*np.array([(f["place"] & 0xFFFFFFFF, f["owner"], f["source"]) for f in found], np.int64).T, window))
+            ]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "part", "owner", "begin", "end"])
+
+    return run
+
+
+def _cut(batches):
+    """(owner, begin, end, phrase) from the joined words of the owners."""
+    for batch in batches:
+        out = []
+        for i, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            words = text.split(" ")
+            out += [(i, s["begin"], s["end"], " ".join(words[s["begin"] & 0xFFFFFFFF : s["end"] & 0xFFFFFFFF])) for s in spans]
+        if out:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.string()])]
+            yield pa.RecordBatch.from_arrays(columns, ["owner", "begin", "end", "phrase"])
 
 
 def _automata(phrases: dict[str, int]):
@@ -236,9 +267,10 @@ def _automata(phrases: dict[str, int]):
 def _locate(window: int):
     def shard(rows):
         phrases: dict[str, int] = {}
-        for _, _, _, words, _, found in rows:
-            for a, b, owner in found:
-                phrases[" " + " ".join(words[a:b]) + " "] = owner
+        for _, _, _, _, _, found in rows:
+            for f in found:
+                key = f" {f['phrase']} "
+                phrases[key] = min(f["owner"], phrases.get(key, LAST))
         covered = [np.zeros(len(words) + 1, np.int64) for _, _, _, words, _, _ in rows]
         for automaton in _automata(phrases):
             for (doc, _, text, _, starts, _), cover in zip(rows, covered):
@@ -257,10 +289,9 @@ def _locate(window: int):
     def run(batches):
         rows, size = [], 0
         for batch in batches:
-            for doc, key, text, at, owner in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for doc, key, text, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 words = text.split(" ")
                 starts = np.cumsum([1] + [len(w) + 1 for w in words[:-1]])
-                found = list(passages(np.array(at, np.int64) & 0xFFFFFFFF, np.array(owner, np.int64), window))
                 rows.append((doc, key, f" {text} ", words, starts, found))
                 size += len(text)
                 if size >= SHARD:
@@ -272,10 +303,9 @@ def _locate(window: int):
     return run
 
 
-def _tidy(spark) -> None:
-    """Lets Spark delete the shuffle files of steps whose tables are written."""
-    gc.collect()
-    spark._jvm.System.gc()
+def _part(key):
+    """31 bits of a key, which tell documents with one id apart; documents that share them too only share their phrases."""
+    return key.bitwiseAND(F.lit(0x7FFFFFFF))
 
 
 def analyse(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -293,26 +323,28 @@ def analyse(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     repeated = scratch.keep(repeated, "repeated")
     wanted = picked.join(repeated, "anchors").groupBy("id", "key").agg(F.collect_list("places").alias("places"))
     wanted = scratch.keep(wanted, "wanted")
-    _tidy(spark)
-    held = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text").where("text IS NOT NULL").join(wanted, "id")
-    held = held.select("id", "key", "text", "places").mapInArrow(_candidates, "id long, key long, words string, places array<int>")
+    named = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text").where("text IS NOT NULL")
+    named = hits(named, F.xxhash64("id"), wanted.select(F.xxhash64("id").alias("h")), scratch, "bits").where("hit")
+    held = named.select("id", "text").mapInArrow(_keyed, "id long, key long, words string").join(wanted, ["id", "key"])
     held = scratch.keep(held.dropDuplicates(["id", "key"]), "held")
-    _tidy(spark)
-    windows = held.mapInArrow(_windows(window), "h1 long, h2 long, id long, place long")
+    windows = held.select("id", "key", "words", "places").mapInArrow(_windows(window), "h1 long, h2 long, id long, place long")
     owners = windows.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").select("h1", "h2", "owner")
     owners = scratch.keep(owners, "owners")
-    _tidy(spark)
-    spans = windows.join(owners, ["h1", "h2"]).where("owner < id")
-    spans = spans.groupBy("id", F.shiftright("place", 32).alias("part")).agg(F.collect_list("place").alias("at"), F.collect_list("owner").alias("owner"))
-    spans = scratch.keep(spans, "spans")
-    scratch.drop("repeated", "wanted", "owners")
-    _tidy(spark)
-    texts = held.withColumn("part", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF))).select("id", "key", "part", "words")
-    removed = texts.join(spans, ["id", "part"]).select("id", "key", "words", "at", "owner").mapInArrow(_locate(window), REMOVED)
+    placed = scratch.keep(windows.join(owners, ["h1", "h2"]).where("owner <= id"), "placed")
+    sources = placed.where("owner = id").groupBy("h1", "h2").agg(F.min("place").alias("source"))
+    spans = placed.where("owner < id").join(sources, ["h1", "h2"])
+    spans = spans.groupBy("id", F.shiftright("place", 32).alias("part")).agg(F.collect_list(F.struct("place", "owner", "source")).alias("found"))
+    claims = scratch.keep(spans.mapInArrow(_claims(window), "id long, part long, owner long, begin long, end long"), "claims")
+    scratch.drop("repeated", "wanted", "owners", "placed")
+    texts = held.withColumn("part", _part(F.col("key"))).select("id", "key", "part", "words")
+    asked = claims.select("owner", "begin", "end").distinct().groupBy("owner", F.shiftright("begin", 32).alias("part")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    cut = texts.join(asked.withColumnRenamed("owner", "id"), ["id", "part"]).select("id", "words", "spans")
+    phrases = scratch.keep(cut.mapInArrow(_cut, "owner long, begin long, end long, phrase string"), "phrases")
+    found = claims.join(phrases, ["owner", "begin", "end"]).groupBy("id", "part").agg(F.collect_set(F.struct("owner", "phrase")).alias("found"))
+    removed = texts.join(found, ["id", "part"]).select("id", "key", "words", "found").mapInArrow(_locate(window), REMOVED)
     removed = scratch.keep(removed, "removed")
-    scratch.drop("held", "spans")
-    _tidy(spark)
-    classed = prints.select("doc_id", "id", "n_words", "sha", "key").join(classes, "sha")
+    scratch.drop("held", "claims", "phrases")
+    classed = prints.select("doc_id", "id", "raw", "n_words", "sha", "key").join(classes, "sha")
     return classed.withColumn("copy", F.expr(f"id > least AND n_words >= {window}")), removed
 
 
@@ -334,19 +366,21 @@ def cleaned(docs: DataFrame, *, window: int = 50) -> DataFrame:
 
     A text that loses nothing stays as it is; of another one the kept words
     stay, joined by one space, and ``n_chars``, where there is one, is theirs.
+    Columns may have any names.  Only rows that may change are shuffled.
     """
+    scratch = Scratch(docs.sparkSession, "phrases-cut")
     classed, removed = analyse(docs, window)
-    new = classed.select("id", "key", "copy").distinct().join(removed.select("id", "key", "kept"), ["id", "key"], "left")
-    new = new.where("copy OR kept IS NOT NULL").select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.when(~F.col("copy"), F.col("kept")).alias("_kept"))
-    words = F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " "))
-    # the first eight bytes of the digest as a little-endian long, as in the prints
-    digest = F.sha2(words, 256)
-    mirrored = F.concat(*[F.substring(digest, 15 - 2 * k, 2) for k in range(8)])
-    signed = F.conv(mirrored, 16, -10).cast("long")
-    marked = docs.withColumn("_own", F.coalesce("doc_id", F.lit(LAST)))
-    joined = marked.join(new, (F.col("_own") == F.col("_id")) & (signed == F.col("_key")), "left")
-    changed = F.col("_id").isNotNull()
-    out = {"text": F.when(changed, F.coalesce("_kept", F.lit(""))).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.length(F.coalesce("_kept", F.lit("")))).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(out).select(*[f"`{c}`" for c in docs.columns])
+    new = classed.select("id", "key", "raw", "copy").join(removed.select("id", "key", "kept"), ["id", "key"], "left").where("copy OR kept IS NOT NULL")
+    new = new.select("id", "raw", F.when(~F.col("copy"), F.col("kept")).alias("kept")).dropDuplicates(["id", "raw"])
+    new = scratch.keep(new, "new")
+    at = {c: f"_{docs.columns.index(c)}" for c in ("doc_id", "text", "n_chars") if c in docs.columns}
+    own = F.coalesce(F.col(at["doc_id"]), F.lit(LAST))
+    asked = hits(plain(docs), F.xxhash64(own), new.select(F.xxhash64("id").alias("h")), scratch, "bits")
+    joined = asked.where("hit").join(new, (own == F.col("id")) & (F.sha2(at["text"], 256) == F.col("raw")), "left")
+    changed, kept = F.col("id").isNotNull(), F.coalesce("kept", F.lit(""))
+    out = {at["text"]: F.when(changed, kept).otherwise(F.col(at["text"]))}
+    if "n_chars" in at:
+        n = at["n_chars"]
+        out[n] = F.when(changed, F.length(kept)).otherwise(F.col(n)).cast(docs.schema[docs.columns.index("n_chars")].dataType)
+    left = joined.withColumns(out).select(asked.columns)
+    return asked.where("NOT hit").union(left).drop("hit").toDF(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import Scratch, components, only, small_batches
+from .common import Scratch, components, only, small_batches, without
 
 PAIRED = 16  # keys with up to so many fingerprints are paired off
 
@@ -147,7 +147,5 @@ def representatives(docs: DataFrame, *, shingle: int = 3, seed: int = 42) -> Dat
 
     Rows that share a doc_id go together, and only if none of them stays.
     """
-    from .exact import without
-
     found = near_duplicates(docs, shingle=shingle, seed=seed)
     return without(docs, found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone"))
