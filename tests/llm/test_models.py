@@ -152,7 +152,7 @@ def vectors(spark, n=1500):
 
 def test_embeddings(spark):
     rows, df = vectors(spark)
-    got = embed.near_duplicates(df, shard_rows=150).collect()
+    got = embed.near_duplicates(df, cell_rows=300, shard_rows=150).collect()
     assert len(got) == len(rows)
     good = [(i, np.array(v, float), lab) for i, v, lab in rows if v and lab is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     links, degree = [], [0] * len(good)
