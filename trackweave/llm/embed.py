@@ -72,7 +72,7 @@ def robust_prune(sims: np.ndarray, order: np.ndarray, among: np.ndarray, alpha:
     return chosen
 
 
-def build(x: np.ndarray, degree: int = 24, pool: int = 64, alpha: float = 1.2) -> list[list[int]]:
+def build(x: np.ndarray, degree: int = 10, pool: int = 24, alpha: float = 1.2) -> list[list[int]]:
     """Adjacency lists of unit vectors, with reverse edges pruned to twice the degree."""
     n = len(x)
     out: list[list[int]] = [[] for _ in range(n)]
@@ -99,6 +99,11 @@ def build(x: np.ndarray, degree: int = 24, pool: int = 64, alpha: float = 1.2) -
             among = x[more[order]] @ x[more[order]].T
             more = robust_prune(s[order], more[order], among, alpha, degree)
         out[i] += list(more)
+    into = np.bincount(np.concatenate([np.asarray(o, np.int64) for o in out]), minlength=n)
+    for i in np.flatnonzero(into < 2):  # hubs dropped it: its neighbours with the fewest edges lead to it
+        for j in sorted(out[i], key=lambda j: len(out[j]))[:2]:
+            if i not in out[j]:
+                out[j].append(int(i))
     return out
 
 
@@ -135,8 +140,8 @@ def search(x: np.ndarray, graph: list[np.ndarray], starts, queries: np.ndarray,
         for i in range(0, len(who), 8192):
             near = table[at[i : i + 8192]]
             rows, cols = np.nonzero(near >= 0)
-            pair = np.unique(who[i : i + 8192][rows] * n + near[rows, cols])
-            pair = pair[sims.ravel()[pair] == -2]
+            pair = who[i : i + 8192][rows] * n + near[rows, cols]
+            pair = np.unique(pair[sims.ravel()[pair] == -2])
             a, c = pair // n, pair % n
             sims[a, c] = opened[a, c] = np.einsum("ij,ij->i", asked[a], small[c])
     return np.nonzero(sims >= reach - 1e-4)
@@ -235,21 +240,18 @@ def compare(x: np.ndarray, tally: Tally, reach: float, one: np.ndarray, two: np.
 
 
 def graph_of(x: np.ndarray, shard_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(united adjacency lists, medoids) of graphs built on overlapping cluster shards."""
+    """(united adjacency lists, medoids) of graphs built on overlapping cluster shards, and the medoids of finer clusters."""
     n, united = len(x), [set() for _ in range(len(x))]
-    if n <= 1.5 * shard_rows:
-        shards = [np.arange(n)]
-    else:
-        some = x[np.random.default_rng(n).permutation(n)[:2000]]
-        s = x @ centres_of(some, -(-2 * n // shard_rows)).T
-        near = np.argsort(-s, axis=1)[:, :3]
-        shards = [m for k in range(s.shape[1]) if len(m := np.flatnonzero((near == k).any(1)))]
-    medoids = []
-    for members in shards:
-        y = x[members]
-        medoids.append(int(members[(y @ y.mean(0)).argmax()]))
-        for i, near in zip(members.tolist(), build(y)):
-            united[i].update(members[near].tolist())
+    some = x[np.random.default_rng(n).permutation(n)[:2000]]
+    near = np.argsort(-(x @ centres_of(some, -(-2 * n // shard_rows)).T), axis=1)[:, :3]
+    medoids = (x @ centres_of(some, -(-n // 48)).T).argmax(0).tolist()
+    for k in range(near.max() + 1):
+        members = np.flatnonzero((near == k).any(1))
+        if len(members):
+            y = x[members]
+            medoids.append(int(members[(y @ y.mean(0)).argmax()]))
+            for i, own in zip(members.tolist(), build(y)):
+                united[i].update(members[own].tolist())
     return [np.fromiter(sorted(u), np.int64, len(u)) for u in united], np.unique(medoids)
 
 
@@ -457,7 +459,7 @@ def link(classes: DataFrame, scratch: Scratch, reach: float, cell_rows: int, sha
     return counts, met.select(F.col("cls").alias("u"), F.col("root").alias("v")).where("u <> v"), share(found)
 
 
-def near_duplicates(vectors: DataFrame, *, reach: float = 0.93, cell_rows: int = 6000, shard_rows: int = 700, beam: int = 32,
+def near_duplicates(vectors: DataFrame, *, reach: float = 0.93, cell_rows: int = 6000, shard_rows: int = 300, beam: int = 8,
                     target: float = 0.97, audited: int = 512) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall_audit) of every vector."""
     scratch = Scratch(vectors.sparkSession, "embed")
