@@ -92,6 +92,32 @@ def test_simhash_links_lose_nothing(spark):
     assert smallest_reachable(signed, [tuple(r) for r in rows]) == want
 
 
+def test_simhash_keys_are_exact_at_any_crowding():
+    """Whole keys of all pairs within two bits meet, and a crowded key gives the components of all pairs."""
+    rng = random.Random(12)
+    a = np.array([rng.getrandbits(64) for _ in range(300)], np.uint64)
+    b = np.array([int(x) ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 2))) for x in a], np.uint64)
+
+    def whole(x):
+        key, row = simhash.fuzzy_keys(x.view(np.int64))
+        long, at = simhash.longer_keys(key, x.view(np.int64)[row])
+        out = defaultdict(set)
+        for i, k in zip(row[at].tolist(), long.tolist()):
+            out[i].add(k)
+        return out
+
+    one, two = whole(a), whole(b)
+    assert all(one[i] & two[i] for i in range(300))
+    crowd = np.unique(np.array([sum(1 << i for i in rng.sample(range(24), rng.randint(0, 6))) for _ in range(400)], np.uint64))
+    pairs = [(i, j) for i in range(len(crowd)) for j in range(i) if int(crowd[i] ^ crowd[j]).bit_count() <= 2]
+    assert smallest_reachable(range(len(crowd)), simhash.spanning(crowd)) == smallest_reachable(range(len(crowd)), pairs) and len(crowd) > 64
+
+
+def test_simhash_without_ids(spark):
+    got = simhash.near_duplicates(documents(spark, [(None, "a b c d", "en"), (None, "a b c d", "en"), (None, "q r s", "en")])).where("doc_id IS NULL").collect()
+    assert len(got) == 3
+
+
 def brute_exact(rows):
     groups = defaultdict(list)
     for doc_id, text in rows:

@@ -4,15 +4,16 @@ Fingerprints are 64 bits; equal ones are one class from the start.  They are
 cut into segments of 23, 23 and 18 bits.  Two fingerprints that differ in at
 most two bits agree in one segment at least, and each other segment is within
 two bits, so its words share a codeword near both.  Keys are therefore an
-exact segment with a codeword of another one; fingerprints that meet in a key
-are verified bit by bit.  Keys that gather many fingerprints are not paired
-off: there two fingerprints link exactly if a word lies within one bit of
-both, and at most 65 fingerprints lie around any word, so every such
-neighbourhood is joined to its smallest member.  The links lose no connection
-and their number stays in proportion to the fingerprints.
+exact segment with a codeword of a second one; a key that several fingerprints
+share is made longer by the codewords of the third one, so that all 64 bits
+take part.  What meets in a whole key is verified bit by bit, and the key
+gives a spanning forest of its links, not the list of them: few fingerprints
+are compared pair by pair, more of them through the words one bit away, which
+any two within two bits share.  Either way the components are those of all
+links, and the rows stay in proportion to the fingerprints.
 
 Rows: null text counts as empty, which has fingerprint zero.  Repeated rows
-stay.  A null doc_id never becomes a component_id while another id is in the
+stay, as do several rows without doc_id.  A null doc_id never becomes a component_id while another id is in the
 component.  An empty table gives no rows; other columns are ignored.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import golay
 from .common import Scratch, components, only, small_batches, without
 
-PAIRED = 16  # keys with up to so many fingerprints are paired off
+FLIPS = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -60,21 +61,36 @@ def _fingerprints(shingle: int, seed: int):
     return run
 
 
+def _segments(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    v = fps.view(np.uint64)
+    return tuple(((v >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in ((0, 23), (23, 23), (46, 18)))
+
+
+# of each family: the exact segment, the one with a codeword in the key, the one that makes the key longer
+FAMILIES = ((0, 1, 2), (1, 0, 2), (2, 0, 1))
+
+
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, index of the fingerprint) of all fingerprints."""
-    v = fps.view(np.uint64)
-    cut = lambda at, n: ((v >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)
-    a, b, c = cut(0, 23), cut(23, 23), cut(46, 18)
-    near_a, near_b = golay.keys(a), golay.keys(b)
+    cut = _segments(fps)
     out, row = [], []
-    for family, (exact, near) in enumerate(((a, near_b), (b, near_a), (c, near_a))):
-        key = family << 40 | exact[:, None] << 12 | near
+    for family, (exact, second, _) in enumerate(FAMILIES):
+        near = golay.keys(cut[second])
         at = np.nonzero(near >= 0)
-        out.append(key[at])
+        out.append((family << 40 | cut[exact][:, None] << 12 | near)[at])
         row.append(at[0])
     return np.concatenate(out), np.concatenate(row)
 
 
+def longer_keys(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys with a codeword of the third segment, index of the row)."""
+    cut, family = _segments(fps), keys >> 40
+    third = np.choose(family, [cut[f[2]] for f in FAMILIES])
+    near = golay.keys(third)
+    at = np.nonzero(near >= 0)
+    return (keys[:, None] << 12 | near)[at], at[0]
+
+
 def _emit_keys(batches):
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False)
@@ -82,31 +98,72 @@ def _emit_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], ["key", "fp"])
 
 
-def _verify(most: int):
-    def run(batches):
-        """Pairs of fingerprints that met in a key and differ in few bits."""
-        for batch in batches:
-            us, vs = [], []
-            for members in batch.column(0).to_pylist():
-                m = np.unique(np.array(members, np.int64)).view(np.uint64)
-                x, y = np.triu_indices(len(m), 1)
-                ok = np.bitwise_count(m[x] ^ m[y]) <= most
-                us.append(m[x[ok]])
-                vs.append(m[y[ok]])
-            if us:
-                u, v = (np.concatenate(z).view(np.int64) for z in (us, vs))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    return run
-
-
-def _around(batches):
-    """Every word within one bit of a fingerprint."""
-    flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
+def _emit_longer(batches):
     for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
-        words = (fps.view(np.uint64)[:, None] ^ flips).ravel().view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.repeat(fps, 65))], ["word", "fp"])
+        keys, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for a in range(0, len(keys), 1 << 16):
+            key, row = longer_keys(keys[a : a + (1 << 16)], fps[a : a + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[a : a + (1 << 16)][row])], ["key", "fp"])
+
+
+def near_pairs(m: np.ndarray, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of links among distinct fingerprints that span the components of all of them."""
+    if len(m) <= 64:
+        x, y = np.triu_indices(len(m), 1)
+    else:  # any two within two bits share a word one bit away; there all meet the smallest
+        words = (m[:, None] ^ FLIPS).ravel()
+        order = np.argsort(words, kind="stable")
+        first = np.concatenate([[True], words[order][1:] != words[order][:-1]])
+        who = order // 65
+        x = who[np.flatnonzero(first)][np.cumsum(first) - 1]
+        x, y = x[~first], who[~first]
+    ok = np.bitwise_count(m[x] ^ m[y]) <= most
+    return x[ok], y[ok]
+
+
+def spanning(m: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct fingerprints."""
+    up = list(range(len(m)))
+    out = []
+    for a, b in zip(*(z.tolist() for z in near_pairs(m))):
+        ra, rb = a, b
+        while up[ra] != ra:
+            up[ra] = ra = up[up[ra]]
+        while up[rb] != rb:
+            up[rb] = rb = up[up[rb]]
+        if ra != rb:
+            up[max(ra, rb)] = min(ra, rb)
+            out.append((a, b))
+    return out
+
+
+def _verify(batches):
+    """Links of each key; rows come sorted by key, and a key may reach over batches."""
+
+    def of(keys: np.ndarray, fps: np.ndarray):
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.append(edge, len(keys)))
+        at = edge[size == 2]  # most keys
+        ok = np.bitwise_count(fps[at] ^ fps[at + 1]) <= 2
+        us, vs = [fps[at[ok]]], [fps[at[ok] + 1]]
+        for a, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
+            if links := spanning(fps[a : a + n]):
+                x, y = np.array(links).T
+                us.append(fps[a + x])
+                vs.append(fps[a + y])
+        u, v = (np.concatenate(z).view(np.int64) for z in (us, vs))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    held = None
+    for batch in batches:
+        new = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        held = new if held is None else tuple(np.concatenate(z) for z in zip(held, new))
+        if len(held[0]) and held[0][0] != held[0][-1]:
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key is not complete yet
+            yield of(held[0][:cut], held[1][:cut])
+            held = held[0][cut:], held[1][cut:]
+    if held is not None and len(held[0]):
+        yield of(*held)
 
 
 def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -115,15 +172,12 @@ def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
     They span every component of the full link graph; each is verified.
     """
     keyed = scratch.keep(classes.select("fp").mapInArrow(_emit_keys, "key long, fp long"), "keys")
-    counted = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    counted = scratch.keep(counted, "counted")
-    few = keyed.join(counted.where(F.col("n") <= PAIRED).select("key"), "key")
-    few = few.groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_verify(2), "u long, v long")
-    many = keyed.join(counted.where(F.col("n") > PAIRED).select("key"), "key").select("fp").distinct()
-    around = scratch.keep(many.mapInArrow(_around, "word long, fp long"), "around")
-    least = around.groupBy("word").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    met = around.join(least, "word").where((F.col("fp") != F.col("least")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= 2))
-    return few.union(met.select(F.col("fp").alias("u"), F.col("least").alias("v"))).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    longer = keyed.join(shared, "key").select("key", "fp").mapInArrow(_emit_longer, "key long, fp long")
+    longer = scratch.keep(longer, "longer")
+    shared = longer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = longer.join(shared, "key").select("key", "fp")
+    return met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_verify, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -138,7 +192,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, seed: int = 42) -> Dat
     rooted = scratch.keep(rooted, "rooted")
     lowest = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
     named = scratch.keep(rooted.join(lowest, "root").select("fp", "component_id"), "named")
-    scratch.drop("keys", "counted", "around")
+    scratch.drop("keys", "longer")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
