@@ -4,15 +4,19 @@ States stand for "the last token was t".  Merges are added in rank order by
 the merge gadget: for a merge (u, v) -> w, the state after u loses its arc v
 (that pair would have been merged), every state with an arc u gains an arc w,
 and the state after w starts as a copy of the state after v.  Token sequences
-that the automaton accepts are exactly the BPE encodings, and a text has one
-such path.  Arcs are kept as exceptions: each state lists the arcs that its
-gadgets removed with their rank, an arc w lives where the arc u lived, and a
-copied state keeps the removals older than the copy.  Transition entries are
-filled from that on first use, into a table keyed by (state, token).
-
-A pre-token is encoded by walking the table from the longest token on and
-stepping back at a missing arc; a position that failed is never tried again.
-Decoding emits the arc labels.
+that the automaton accepts are exactly the BPE encodings, and a text, as each
+of its prefixes, has one such path.  Arcs are kept as exceptions: each state
+lists the arcs that its gadgets removed with their rank, an arc w lives where
+the arc u lived, and a copied state keeps the removals older than the copy.
+
+Over bytes that automaton is not deterministic: an arc spells several of them.
+The subset construction makes it so.  A state of the result is the set of arcs
+under way, each as the state it left and the bytes of its label so far; one of
+them at most ends at any byte, which is the last token of the prefix up to
+there.  So a pre-token is encoded byte by byte, one look into the transition
+table each, never back, and the tokens are read off the last tokens from the
+end on.  Rows of the table are compiled when first needed: all of them would
+be many more than texts ever use.  Decoding emits the arc labels.
 
 Rows: null text counts as empty.  Repeated rows stay, a null doc_id is
 carried through, an empty table gives no rows, other columns are ignored.
@@ -45,9 +49,10 @@ class Automaton:
     """Compiled merges of a byte-level BPE.
 
     vocab: label bytes -> id; merges: pairs of label bytes in rank order.
+    table_limit: transitions kept; a full table is compiled afresh.
     """
 
-    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], table_limit: int = 2_000_000):
+    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], table_limit: int = 1_000_000):
         size = max(vocab.values(), default=-1) + 1
         self.vocab, self.limit = vocab, table_limit
         self.label: list[bytes] = [b""] * size
@@ -57,7 +62,6 @@ class Automaton:
         self.left, self.right = [-1] * size, [-1] * size
         self.cut: dict[int, int] = {}  # (u, v) -> rank of the gadget that took arc v from the state after u
         self.size = size
-        self.arc: dict[int, bool] = {}  # the transition table
         made = {i for b, i in vocab.items() if len(b) == 1}
         for rank, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
@@ -65,14 +69,43 @@ class Automaton:
                 self.cut[u * size + v] = rank
                 self.left[w], self.right[w], self.rank[w] = u, v, rank
                 made.add(w)
-        self.usable = {b: i for b, i in vocab.items() if i in made}
-        self.longest = max(map(len, self.usable), default=1)
-        self.shorter = [-1] * size  # the longest usable token that is a proper prefix
-        for b, i in self.usable.items():
-            for n in range(len(b) - 1, 0, -1):
-                if (s := self.usable.get(b[:n])) is not None:
-                    self.shorter[i] = s
-                    break
+        self.spelt: dict[int, int] = {}  # (node, byte) -> node of the labels' bytes
+        self.ends = [-1]  # node -> the token that it spells
+        for b, i in vocab.items():
+            if i in made:
+                node = 0
+                for c in b:
+                    if (key := node << 8 | c) not in self.spelt:
+                        self.spelt[key] = len(self.ends)
+                        self.ends.append(-1)
+                    node = self.spelt[key]
+                self.ends[node] = i
+        self._clear()
+
+    def _clear(self) -> None:
+        begin = ((-1, 0),)
+        self.table: dict[int, int] = {}  # (state, byte) -> state
+        self.states, self.named = [begin], {begin: 0}
+        self.last = [-1]  # state -> the last token of the prefix that leads there
+
+    def _compile(self, state: int, byte: int) -> int:
+        """The entry (state, byte) of the table."""
+        under_way, last = [], -1
+        for origin, node in self.states[state]:
+            if (node := self.spelt.get(node << 8 | byte)) is not None:
+                under_way.append((origin, node))
+                token = self.ends[node]
+                if token >= 0 and (origin < 0 or self._lives(origin, token)):
+                    last = token
+        if last < 0:
+            raise ValueError(f"byte {byte} is not in the vocabulary")
+        new = (*under_way, (last, 0))
+        if (to := self.named.get(new)) is None:
+            to = self.named[new] = len(self.states)
+            self.states.append(new)
+            self.last.append(last)
+        self.table[state << 8 | byte] = to
+        return to
 
     def _lives(self, t: int, w: int) -> bool:
         """Whether the state after t has the arc w, from the gadgets so far.
@@ -96,43 +129,18 @@ class Automaton:
 
     def encode(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
-        if word in self.usable and len(word) == 1:
-            return [self.usable[word]]
-        n, usable, label, arc, size = len(word), self.usable, self.label, self.arc, self.size
-        path: list[int] = []
-        at, state, dead = 0, -1, set()
-
-        def longest(i: int) -> int:
-            for j in range(min(n, i + self.longest), i, -1):
-                if (t := usable.get(word[i:j])) is not None:
-                    return t
-            raise ValueError(f"byte {word[i]} is not in the vocabulary")
-
-        t = longest(0) if n else -1
-        while at < n:
-            while t >= 0:
-                if at + len(label[t]) not in dead:
-                    if state < 0:
-                        break
-                    key = state * size + t
-                    if (ok := arc.get(key)) is None:
-                        if len(arc) >= self.limit:
-                            arc.clear()
-                        ok = arc[key] = self._lives(state, t)
-                    if ok:
-                        break
-                t = self.shorter[t]
-            if t >= 0:
-                path.append(t)
-                at, state = at + len(label[t]), t
-                t = longest(at) if at < n else -1
-            else:  # no way on from here: step back
-                dead.add(at)
-                t = path.pop()
-                at -= len(label[t])
-                state = path[-1] if path else -1
-                t = self.shorter[t]
-        return path
+        if len(self.table) > self.limit:
+            self._clear()
+        table, last, label, state, at = self.table.get, self.last, self.label, 0, []
+        for byte in word:
+            to = table(state << 8 | byte)
+            state = self._compile(state, byte) if to is None else to
+            at.append(last[state])
+        path, end = [], len(word)
+        while end:
+            path.append(at[end - 1])
+            end -= len(label[path[-1]])
+        return path[::-1]
 
 
 class Codec:
@@ -164,7 +172,9 @@ class Codec:
             ids = []
             for w in self.cut(text):
                 if (x := words.get(w)) is None:
-                    x = words[w] = array("I", walk(w.encode("utf-8"))).tobytes()
+                    x = array("I", walk(w.encode("utf-8"))).tobytes()
+                    if len(w) <= tokens.LONGEST:
+                        words[w] = x
                 ids.append(x)
             out.append(b"".join(ids))
         return out

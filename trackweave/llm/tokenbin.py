@@ -17,7 +17,7 @@ bits a boundary, and offsets come from select, not from 64-bit tables.
 Shards are ranges of doc_id, in order; a block belongs to one shard and
 records the ids before it there.  Rows: null text counts as empty (its ids
 are the end id alone); null doc_ids come first; rows that repeat a doc_id
-follow each other in the order of their texts; an empty table gives an empty
+follow each other in the order of a hash of their texts; an empty table gives an empty
 store; other columns are ignored.
 """
 
@@ -38,7 +38,8 @@ from .common import Scratch, only, small_batches
 BLOCK = "shard int, block int, before long, n_docs int, n_ids long, payload binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 EVERY = 64
-ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
+PLACE = np.array([([b for b in range(8) if i >> b & 1] + [0] * 8)[:8] for i in range(256)], np.int64)  # of the k-th set bit of a byte
 
 
 class EliasFano:
@@ -59,34 +60,23 @@ class EliasFano:
         unary[at] = 1
         return cls(n, bits, low, np.packbits(unary, bitorder="little"), at[::EVERY].astype(np.uint32))
 
-    def select(self, i: int) -> int:
-        """The i-th value, from the nearest sample on."""
-        at = int(self.samples[i // EVERY])
-        left = i % EVERY
-        byte, skip = at >> 3, at & 7
-        word = int(self.high[byte]) >> skip << skip
-        while left >= ONES[word]:
-            left -= int(ONES[word])
-            byte += 1
-            word = int(self.high[byte])
-        for _ in range(left):
-            word &= word - 1
-        high = (byte << 3) + (word & -word).bit_length() - 1 - i
-        low = 0
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values: each from the nearest sample on, byte by byte, all of them in step."""
+        i = np.asarray(i, np.int64)
+        at = self.samples[i // EVERY].astype(np.int64)
+        byte, left = at >> 3, i % EVERY
+        left = left + ONES[self.high[byte] & ((1 << (at & 7)) - 1).astype(np.uint8)]  # the set bits before the sample in its byte
+        open_ = np.arange(len(i))
+        while len(open_ := open_[left[open_] >= ONES[self.high[byte[open_]]]]):
+            left[open_] -= ONES[self.high[byte[open_]]]
+            byte[open_] += 1
+        high = (byte << 3) + PLACE[self.high[byte], left] - i
+        low = np.zeros(len(i), np.int64)
         for b in range(self.low_bits):
             p = i * self.low_bits + b
-            low |= (int(self.low[p >> 3]) >> (p & 7) & 1) << b
+            low |= (self.low[p >> 3].astype(np.int64) >> (p & 7) & 1) << b
         return high << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """Every value: select over the whole high part at once."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
-        high = (at - np.arange(self.count)).astype(np.int64)
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(self.low, count=self.count * self.low_bits, bitorder="little").reshape(self.count, self.low_bits)
-        return high << self.low_bits | bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
-
     def dumps(self) -> bytes:
         low, high = self.low.tobytes(), self.high.tobytes()
         return struct.pack("<IBI", self.count, self.low_bits, len(low)) + low + struct.pack("<I", len(high)) + high + self.samples.astype("<u4").tobytes()
@@ -125,11 +115,20 @@ class Block:
             parts.append(data[at + 4 : at + 4 + n])
             at += 4 + n
         self.bounds = EliasFano.loads(parts[0])
-        self.doc_ids = [None] * nulls + (EliasFano.loads(parts[1]).all() + first).tolist()
+        self.nulls, self.first, self.names = nulls, first, EliasFano.loads(parts[1])
         self.ids = np.frombuffer(parts[2], f"<u{width}")
 
+    def documents(self, step: int = 1 << 14):
+        """(doc_ids, offsets) of some documents at a time, with one more offset, by select."""
+        for a in range(0, self.n_docs, step):
+            b = min(a + step, self.n_docs)
+            known = np.arange(max(a - self.nulls, 0), max(b - self.nulls, 0))
+            names = self.names.select(known) + self.first if len(known) else known
+            yield [None] * (b - a - len(known)) + names.tolist(), self.bounds.select(np.arange(a, b + 1))
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
+        a, b = self.bounds.select(np.array([i, i + 1])).tolist()
+        return self.ids[a:b]
 
 
 def _writer(path: str, end_id: int, block_ids: int):
@@ -169,13 +168,16 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
     """Write a store of all documents in ascending doc_id order.
 
     The texts are dealt out by ranges of doc_id, then encoded, so that
-    sampling the ranges does not encode anything.  shards: how many ranges;
-    unset, the session's shuffle partitions.
+    sampling the ranges does not encode anything.  Rows that repeat a doc_id,
+    or have none, are told apart by a hash of their text, so that many of them
+    take several ranges.  shards: how many ranges; unset, one for each 200,000
+    documents and the session's shuffle partitions at least.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = only(docs, "doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = only(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // 200_000))
+    dealt = rows.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     dealt.mapInArrow(_writer(tokenizer or tokens.default_path(), end_id, block_ids), BLOCK).write.mode("overwrite").parquet(path)
 
 
@@ -191,12 +193,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for shard, before, payload in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 b = Block(payload)
-                bounds = b.bounds.all()
-                crc = [zlib.crc32(b.ids[x:y].astype("<u4").tobytes()) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.doc_ids, pa.int64()), pa.array(bounds[:-1] + before + base[shard]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                for names, bounds in b.documents():
+                    crc = [zlib.crc32(b.ids[x:y].astype("<u4").tobytes()) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names, pa.int64()), pa.array(bounds[:-1] + before + base[shard]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     return blocks.select("shard", "before", "payload").mapInArrow(run, RESULT)
 

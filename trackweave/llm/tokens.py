@@ -57,6 +57,9 @@ def cutter(added: dict[str, int]):
 TAIL = ".,;:!?)]}$&%*#"
 
 
+LONGEST = 64  # characters of a chunk that is worth keeping; so the memo is bounded in bytes too
+
+
 class _Memo(dict):
     """Looking up what is not there gives None and is noted in ``new``."""
 
@@ -131,7 +134,7 @@ class ChunkMemo:
         for i, x in zip(long_way, self.plain([texts[i] for i in long_way])):
             out[i] = x
         if len(memo) < self.most:
-            memo.update(found)
+            memo.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
         elif 3 * len(memo.new) > sum(map(len, split)):
             memo.clear()
         return out
