@@ -83,19 +83,50 @@ def brute_kneser_ney(texts, order, size):
     return p
 
 
-def test_kneser_ney_table(spark):
-    from trackweave.llm.common import Scratch
+def folded_symbols(text):
+    """A line feed, which pads a text, and its bytes with capitals and digits folded."""
+    fold = lambda b: 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b
+    return [10] + [fold(b) for b in text.encode()]
 
+
+def test_perplexity_and_decisions_against_brute_force(spark, monkeypatch):
+    """Perplexity, threshold and decision of every document, by dictionaries and numpy; chunks of a few texts."""
+    monkeypatch.setattr(kneser_ney, "CHUNK", 2000)
     rng = random.Random(7)
-    texts = [prose(rng, "en", 12) for _ in range(20)]
-    symbol, nats = kneser_ney.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t"))
-    k, order = kneser_ney.SYMBOLS, kneser_ney.ORDER
-    p = brute_kneser_ney([[int(symbol[10])] + [int(symbol[b]) for b in t.encode()] for t in texts], order, k)
-    for _ in range(300):
-        gram = tuple(rng.choice([rng.randrange(k), int(symbol[rng.choice(texts[0].encode())])]) for _ in range(order))
-        code = sum(s * k ** (order - 1 - i) for i, s in enumerate(gram))
-        assert nats[code] == pytest.approx(-np.log(p(gram)), rel=1e-4)
-    assert np.exp(-nats.reshape(-1, k).astype(float)).sum(1) == pytest.approx(1, abs=1e-4)
+    rows = [(i, prose(rng, lang, rng.randint(3, 25)), lang) for i in range(120) for lang in [rng.choice(["en", "fr"])]]
+    rows += [(200, "Zz9 " * 40, "en"), (201, "日本語 \x01", None), (202, "", "en"), (203, None, "fr"), (204, "the ether", "de"), (None, "the", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), int(i % 7 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    trusted = {i for i in range(120) if i % 5 and i % 7}
+    half = {r["id"]: r["h"] % 2 == 0 for r in spark.range(120).select("id", (F.xxhash64("id") % 2).alias("h")).collect()}
+    p = brute_kneser_ney([folded_symbols(t) for i, t, _ in rows if i in trusted and half[i]], kneser_ney.ORDER, 256)
+    n_before = kneser_ney.ORDER - 1
+    nll = {}
+    for i, t, _ in rows:
+        if t:
+            s = [10] * n_before + folded_symbols(t)[1:]
+            nll[i] = np.mean([-np.log(p(tuple(s[k - n_before : k + 1]))) for k in range(n_before, len(s))])
+    size = {i: len((t or "").encode()) for i, t, _ in rows}
+    groups = {lang: [i for i, _, own in rows if i in trusted and not half[i] and lang in ("", own)] for lang in ("", "en", "fr")}
+    limit = {}
+    for lang, held in groups.items():
+        mean = sum(nll[i] * size[i] for i in held) / sum(size[i] for i in held)
+        over = [(nll[i] - mean) / (0.03 + size[i] ** -0.5) for i in held]
+        limit[lang] = mean, np.quantile(over, 0.9)
+    got = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels, quantile=0.9, least=10).collect()}
+    assert len(got) == len(rows)
+    rejected = 0
+    for i, t, lang in rows:
+        if not t:
+            assert got[i]["perplexity"] is None and got[i]["kept"]
+            continue
+        mean, top = limit.get(lang, limit[""])
+        over = (nll[i] - mean) / (0.03 + size[i] ** -0.5)
+        assert got[i]["perplexity"] == pytest.approx(np.exp(nll[i]), rel=1e-5)
+        assert got[i]["excess"] == pytest.approx(over, abs=1e-4) and got[i]["threshold"] == pytest.approx(top, abs=2e-4)
+        assert abs(over - top) < 1e-3 or got[i]["kept"] == (over < top)
+        rejected += not got[i]["kept"]
+    assert rejected >= 5 and not got[200]["kept"]
 
 
 def test_quality(spark):

@@ -1,23 +1,29 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
 Symbols are bytes, with capitals folded to one class and digits to another;
-the most frequent ones of trusted text keep a symbol, the others share one,
-so the tables are bounded by symbols ** order.  n-gram counts of trusted
-texts, their continuation counts, context totals and discounts are counted
-and joined in Spark, hash-sharded by n-gram and context.  The joined table,
-at most symbols ** order floats, is broadcast and gives each document its
-perplexity over its whole text.  One half of all trusted documents, by hash
-of doc_id, trains; the other gives the threshold of each language, a high
-quantile of its perplexities, so that nearly all clean text stays.  Short
-texts scatter more, so the quantile is of the excess over the language's mean
-in units of 1 / sqrt(length), besides a floor.  Quantiles are taken of all
+each of the 256 values has its own counts.  n-gram counts of trusted texts,
+their continuation counts, context totals and discounts are tables, sharded by
+n-gram and context, that grow with the trusted text; none is collected.
+
+Documents are scored by joins with these tables.  A first pass gathers some
+megabytes of texts to a chunk, compressed, with the n-grams that occur in it,
+each once.  The n-grams of all chunks together are joined with the counts of
+each order, lowest first, which gives the nats of each; these go back to the
+chunks that asked, where each document's nats are added up over its whole
+text.  So rows are counted in different n-grams of a chunk, not in bytes.
+
+One half of all trusted documents, by hash of doc_id, trains; the other gives
+the threshold of each language: a high quantile, so that nearly all clean text
+stays.  Short texts scatter more, so what is compared is the excess over the
+language's mean in units that suit the length.  Quantiles are taken of all
 held-out documents, with the excess in steps of 1 / STEPS.
 
 Rows: null or empty text has perplexity null and is rejected only if
-``keep_empty`` is false.  Repeated rows are scored alike.  A language with
-fewer than ``least`` held-out documents, or null, takes the threshold over
-all languages.  Without trusted text nothing is rejected.  An empty table
-gives no rows; other columns are ignored.
+``keep_empty`` is false.  Repeated rows are scored alike, null ids are carried
+through.  A language with fewer than ``least`` held-out documents, or null,
+takes the threshold over all languages.  Without trusted text nothing is
+rejected.  An empty table gives no rows; other columns are ignored.  A text
+must fit one row (2 GB).
 """
 
 from __future__ import annotations
@@ -25,62 +31,71 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, small_batches, without
+from .common import Scratch, hits, only, small_batches, without
 from .grams import blocks, segment_sums, texts_as_bytes
 
-ORDER, SYMBOLS = 4, 48
+ORDER = 4
 STEPS = 10_000
+CHUNK = 16 << 20  # bytes of text in a chunk
+CHUNKS = "chunk long, doc_ids array<long>, langs array<string>, sizes array<long>, texts binary, codes array<long>"
 SCORES = "doc_id long, lang string, n_symbols long, nll double"
 
 
 def folded() -> np.ndarray:
-    """Byte -> class: capitals as A, digits as 0."""
+    """Byte -> symbol: capitals as A, digits as 0."""
     table = np.arange(256, dtype=np.uint8)
     table[65:91] = 65
     table[48:58] = 48
     return table
 
 
-def _count_bytes(batches):
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        for t in texts_as_bytes(batch.column(1)):
-            total += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
+_FOLD = folded()
 
 
-def _codes(data: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The code of the n-gram that ends at each byte; the first ones are short."""
-    s = symbol[data].astype(np.int32)
+def grams(data: np.ndarray) -> np.ndarray:
+    """The code of the n-gram that ends at each byte, one byte a symbol; the first ones are short."""
+    s = _FOLD[data].astype(np.uint32)
     code = s.copy()
     for back in range(1, ORDER):
-        code[back:] += s[:-back] * SYMBOLS**back
+        code[back:] |= s[:-back] << np.uint32(8 * back)
     return code
 
 
-def _count_grams(symbol: np.ndarray):
-    def run(batches):
-        held = None
-        for batch in batches:
-            for data, starts, ends, _ in blocks(texts_as_bytes(batch.column(1)), ORDER - 1):
-                codes = _codes(data, symbol)
-                inside = np.zeros(len(data) + 1, np.int8)
-                inside[starts] += 1
-                inside[ends] -= 1
-                got = np.unique(codes[np.cumsum(inside[:-1]) > 0], return_counts=True)
-                frame = pd.Series(got[1], index=got[0])
-                held = frame if held is None else held.add(frame, fill_value=0)
-        if held is not None and len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(held.index.to_numpy(np.int64)), pa.array(held.to_numpy(np.int64))], ["code", "n"])
+def _inside(data, starts, ends):
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[starts] += 1
+    mark[ends] -= 1
+    return grams(data)[np.cumsum(mark[:-1]) > 0]
+
 
-    return run
+def _count(batches):
+    held = None
+    for batch in batches:
+        for data, starts, ends, _ in blocks(texts_as_bytes(batch.column(1)), ORDER - 1):
+            codes, n = np.unique(_inside(data, starts, ends), return_counts=True)
+            frame = pd.Series(n, index=codes)
+            held = frame if held is None else held.add(frame, fill_value=0)
+    if held is not None and len(held):
+        yield pa.RecordBatch.from_arrays([pa.array(held.index.to_numpy(np.int64)), pa.array(held.to_numpy(np.int64))], ["code", "n"])
+
+
+def train(texts: DataFrame, scratch: Scratch) -> list[tuple[DataFrame, DataFrame]]:
+    """Of each order from 1 on: discounted shares (code, seen) and context weights (context, gamma); none without text."""
+    counts = scratch.keep(texts.mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), f"grams-{ORDER}")
+    levels = [counts]
+    for m in range(ORDER - 1, 0, -1):  # below the highest order: in how many contexts, not how often
+        counts = levels[-1].groupBy((F.col("code") % 256**m).alias("code")).agg(F.count("*").alias("n"))
+        levels.append(scratch.keep(counts, f"grams-{m}"))
+    if counts.isEmpty():
+        return []
+    return [_weights(level, scratch, m) for m, level in enumerate(reversed(levels), 1)]
 
 
-def _order_tables(counts: DataFrame, scratch: Scratch, m: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Discounted probabilities (code, p) and context weights (context, gamma) of order m."""
+def _weights(counts: DataFrame, scratch: Scratch, m: int) -> tuple[DataFrame, DataFrame]:
     how = {r["k"]: r["n"] for r in counts.where("n <= 4").groupBy(F.col("n").alias("k")).agg(F.count("*").alias("n")).collect()}
     n1, n2, n3, n4 = (how.get(k, 0) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
@@ -88,59 +103,85 @@ def _order_tables(counts: DataFrame, scratch: Scratch, m: int) -> tuple[pd.DataF
     d1 = clip(1 - 2 * y * n2 / n1 if n1 else 0.5, 0.95)
     d2 = clip(2 - 3 * y * n3 / n2 if n2 else 1.0, 1.95)
     d3 = clip(3 - 4 * y * n4 / n3 if n3 else 1.5, 2.95)
-    grams = counts.withColumn("context", F.expr(f"code div {SYMBOLS}"))
     off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-    totals = scratch.keep(grams.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("taken")), f"totals-{m}")
-    joined = grams.join(totals, "context").select("code", ((F.col("n") - off) / F.col("total")).alias("p"))
-    return joined.toPandas(), totals.select("context", (F.col("taken") / F.col("total")).alias("gamma")).toPandas()
-
-
-def train(texts: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray] | None:
-    """(symbol of each byte, nats of each n-gram code) from (doc_id, text) of trusted documents."""
-    by_byte = np.zeros(256, np.int64)
-    for r in texts.mapInArrow(_count_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        by_byte[r["byte"]] = r["n"]
-    if not by_byte.any():
-        return None
-    fold = folded()
-    by_class = np.bincount(fold, weights=by_byte, minlength=256)
-    by_class[10] += 1  # line feeds pad each text
-    top = np.argsort(-by_class, kind="stable")[: SYMBOLS - 1]
-    symbol = np.zeros(256, np.uint8)
-    symbol[top[by_class[top] > 0]] = np.arange(1, (by_class[top] > 0).sum() + 1)
-    symbol = symbol[fold]
-    counts = texts.mapInArrow(_count_grams(symbol), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    levels = [scratch.keep(counts, f"grams-{ORDER}")]
-    for m in range(ORDER - 1, 0, -1):  # below the highest order: in how many contexts, not how often
-        counts = levels[-1].groupBy((F.col("code") % SYMBOLS**m).alias("code")).agg(F.count("*").alias("n"))
-        levels.append(scratch.keep(counts, f"grams-{m}"))
-    prob = np.full(SYMBOLS, 1 / SYMBOLS)
-    for m, level in enumerate(reversed(levels), 1):
-        seen, contexts = _order_tables(level, scratch, m)
-        gamma = np.ones(SYMBOLS ** (m - 1))
-        gamma[contexts["context"].to_numpy()] = contexts["gamma"].to_numpy()
-        lower = np.tile(prob, SYMBOLS ** (m - 1) * SYMBOLS // len(prob)) if m > 1 else prob
-        prob = np.repeat(gamma, SYMBOLS) * lower
-        prob[seen["code"].to_numpy()] += seen["p"].to_numpy()
-    return symbol, -np.log(prob).astype(np.float32)
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, lang, n_symbols, nll): mean nats a symbol of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = counts.withColumn("context", F.shiftright("code", 8))
+    totals = found.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("taken"))
+    totals = scratch.keep(totals, f"totals-{m}")
+    seen = found.join(totals, "context").select("code", ((F.col("n") - off) / F.col("total")).alias("seen"))
+    return scratch.keep(seen, f"seen-{m}"), totals.select("context", (F.col("taken") / F.col("total")).alias("gamma"))
+
+
+def nats(codes: DataFrame, model: list[tuple[DataFrame, DataFrame]], scratch: Scratch) -> DataFrame:
+    """(code, nats) of distinct n-grams (code) of the highest order, by joins with the counts of each order."""
+    below = None
+    for m, (seen, weights) in enumerate(model, 1):
+        asked = codes.select((F.col("code") % 256**m).alias("code")).distinct() if m < ORDER else codes
+        met = asked.withColumn("context", F.shiftright("code", 8)).join(seen, "code", "left").join(weights, "context", "left")
+        if below is None:
+            lower = F.lit(1 / 256)
+        else:
+            met = met.withColumn("rest", F.col("code") % 256 ** (m - 1)).join(below.select(F.col("code").alias("rest"), F.col("p").alias("lower")), "rest")
+            lower = F.col("lower")
+        p = F.coalesce("seen", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * lower
+        below = scratch.keep(met.select("code", p.alias("p")), f"p-{m}")
+    return below.select("code", (-F.log("p")).cast("float").alias("nats"))
+
+
+def _gather(batches):
+    """Chunks of texts with the n-grams in them."""
+    task, number, codec = TaskContext.get().partitionId(), 0, pa.Codec("zstd")
+    ids, langs, texts, size = [], [], [], 0
+
+    def out():
+        found = [np.unique(_inside(data, starts, ends)) for data, starts, ends, _ in blocks(texts, ORDER - 1)]
+        codes = np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
+        row = [task << 32 | number], [ids], [langs], [[len(t) for t in texts]], [codec.compress(b"".join(texts), asbytes=True)], [codes]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], [c.split()[0] for c in CHUNKS.split(", ")])
 
-    def run(batches):
-        symbol, nats = shared.value
-        for batch in batches:
-            texts = texts_as_bytes(batch.column(1))
+    for batch in batches:
+        for i, t, lang in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            if texts and size + len(t) > CHUNK:
+                yield out()
+                ids, langs, texts, size, number = [], [], [], 0, number + 1
+            ids.append(i)
+            langs.append(lang)
+            texts.append(t)
+            size += len(t)
+    if texts:
+        yield out()
+
+
+def _score(batches):
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids, langs, sizes, packed, answers = (batch.column(k)[row] for k in range(5))
+            sizes = sizes.values.to_numpy()
+            data = codec.decompress(packed.as_py(), int(sizes.sum()), asbytes=True) if sizes.sum() else b""
+            ends_at = np.cumsum(sizes)
+            texts = [data[b - n : b] for b, n in zip(ends_at.tolist(), sizes.tolist())]
             total = np.zeros(len(texts))
-            for data, starts, ends, owners in blocks(texts, ORDER - 1):
-                np.add.at(total, owners, segment_sums(nats[_codes(data, symbol)], starts, ends).astype(float))
-            n = np.array([len(t) for t in texts], np.int64)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), mean], ["doc_id", "lang", "n_symbols", "nll"])
-
-    return only(docs, "doc_id", "text", "lang").mapInArrow(run, SCORES)
+            if answers.is_valid and len(answers.values):
+                code, worth = (answers.values.field(k).to_numpy() for k in range(2))
+                order = np.argsort(code)
+                code, worth = code[order].astype(np.uint32), worth[order].astype(np.float64)
+                for piece, starts, ends, owners in blocks(texts, ORDER - 1):
+                    at = np.minimum(np.searchsorted(code, grams(piece)), len(code) - 1)
+                    np.add.at(total, owners, segment_sums(worth[at], starts, ends))
+            mean = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
+            yield pa.RecordBatch.from_arrays([ids.values, langs.values, pa.array(sizes), mean], ["doc_id", "lang", "n_symbols", "nll"])
+
+
+def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], scratch: Scratch) -> DataFrame:
+    """(doc_id, lang, n_symbols, nll): mean nats a symbol of every whole text."""
+    rows = only(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), "text", "lang")
+    chunks = scratch.keep(rows.mapInArrow(_gather, CHUNKS), "chunks")
+    asked = chunks.select("chunk", F.explode("codes").alias("code"))
+    known = nats(scratch.keep(asked.select("code").distinct(), "asked"), model, scratch)
+    answers = asked.join(known, "code").groupBy("chunk").agg(F.collect_list(F.struct("code", "nats")).alias("answers"))
+    both = chunks.select("chunk", "doc_ids", "langs", "sizes", "texts").join(answers, "chunk", "left")
+    return both.select("doc_ids", "langs", "sizes", "texts", "answers").mapInArrow(_score, SCORES)
 
 
 def excess(nll: Column, n: Column, mean: Column) -> Column:
@@ -148,81 +189,52 @@ def excess(nll: Column, n: Column, mean: Column) -> Column:
     return (nll - mean) / (0.03 + 1.0 / F.sqrt(F.greatest(n, F.lit(1))))
 
 
-def _limits(held: DataFrame, quantile: float, margin: float, floor: float) -> DataFrame:
+def _limits(held: DataFrame, quantile: float) -> DataFrame:
     """(lang, n, mean, limit) of each language in (lang, n_symbols, nll)."""
     means = held.groupBy("lang").agg(F.count("*").alias("n"), (F.sum(F.col("nll") * F.col("n_symbols")) / F.sum("n_symbols")).alias("mean"))
-    means = means.withColumnRenamed("lang", "_lang")
-    over = held.join(F.broadcast(means), F.col("lang").eqNullSafe(F.col("_lang")))  # a row per language
+    over = held.join(means, "lang")
     over = over.withColumn("step", F.round(excess(F.col("nll"), F.col("n_symbols"), F.col("mean")) * STEPS))
     steps = over.groupBy("lang", "n", "mean", "step").agg(F.count("*").alias("times"))
-    top = steps.groupBy("lang", "n", "mean").agg((F.percentile("step", F.lit(quantile), F.col("times")) / STEPS).alias("top"))
-    return top.select("lang", "n", "mean", F.greatest(F.lit(floor), F.lit(margin) * F.col("top")).alias("limit"))
-
-
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    words, slot = np.zeros(1024, np.uint64), pdf["slot"].to_numpy() & 65535
-    np.bitwise_or.at(words, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "words": [words.view(np.int64).tolist()]})
+    return steps.groupBy("lang", "n", "mean").agg((F.percentile("step", F.lit(quantile), F.col("times")) / STEPS).alias("limit"))
 
 
-def _maybe(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs that may be in ids (doc_id, h), by a bitmap of at most 16 MB: texts of few others are shuffled."""
-    slots = 1 << min(max(32 * ids.count(), 1 << 16).bit_length(), 27)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
-    bits = ids.select(slot.alias("slot")).withColumn("slice", F.expr("slot div 65536"))
-    bits = scratch.keep(bits.groupBy("slice").applyInPandas(_pack, "slice long, words array<long>"), "bits")
-    asked = docs.withColumn("_slot", slot).withColumn("slice", F.expr("_slot div 65536"))
-    met = asked.join(F.broadcast(bits), "slice").where("getbit(get(words, int((_slot % 65536) div 64)), int(_slot % 64)) = 1")
-    return met.select(*docs.columns)
-
-
-def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.998, margin: float = 1.25, floor: float = 2.0,
-             least: int = 50, keep_empty: bool = True) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.999, least: int = 100, keep_empty: bool = True) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, excess, threshold, kept) of every document.
 
     labels: doc_id, quality, toxic; trusted is quality 1 and not toxic.
-    margin: the thresholds are this multiple of the quantiles, and floor at least.
+    quantile: the share of a language's trusted text below its threshold.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "quality")
     trusted = only(labels, "doc_id", "quality", "toxic").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    trusted = trusted.where("doc_id IS NOT NULL AND q = 1 AND coalesce(t, 0) = 0").select("doc_id", F.xxhash64("doc_id").alias("h"))
-    trusted = scratch.keep(trusted, "ids")
-    texts = _maybe(only(docs, "doc_id", "text", "lang"), trusted, scratch).join(trusted.hint("merge"), "doc_id")
-    texts = scratch.keep(texts, "trusted")
-    model = train(texts.where("h % 2 = 0").select("doc_id", "text"), scratch)
-    if model is None:
+    trusted = trusted.where("doc_id IS NOT NULL AND q = 1 AND coalesce(t, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
+    trusted = scratch.keep(trusted.withColumn("h", F.xxhash64("doc_id")), "ids")
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    half = trusted.where("h % 2 = 0")
+    likely = hits(rows, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), half.select("h"), scratch, "bits").where("hit")
+    model = train(likely.select("doc_id", "text").join(half, "doc_id", "left_semi"), scratch)
+    if not model:
         return only(docs, "doc_id", "lang", "text").selectExpr(
             "doc_id", "lang", "octet_length(coalesce(text, '')) + 0L AS n_symbols", "double(null) AS perplexity", "double(null) AS excess",
             "double(null) AS threshold", "true AS kept")
-    held = score(texts.where("h % 2 <> 0"), model).where("n_symbols > 0").select("lang", "n_symbols", "nll")
+    scored = scratch.keep(score(docs, model, scratch), "scored")
+    scratch.drop("chunks", "asked")
+    held = scored.where("n_symbols > 0").join(trusted.where("h % 2 <> 0").select("doc_id"), "doc_id", "left_semi").select("lang", "n_symbols", "nll")
     held = scratch.keep(held, "held")
-    limits = {None: (0.0, float("inf"))}
-    pooled = _limits(held.withColumn("lang", F.lit(None).cast("string")), quantile, margin, floor)
-    for r in pooled.union(_limits(held.where("lang IS NOT NULL"), quantile, margin, floor).where(F.col("n") >= least)).collect():
-        limits[r["lang"]] = r["mean"], r["limit"]
-    scratch.drop("trusted")
-    scored = score(docs, model)
-    mean, limit = _by_lang(limits, 0), _by_lang(limits, 1)
-    over = excess(F.col("nll"), F.col("n_symbols"), mean)
+    pooled = _limits(held.withColumn("lang", F.lit("")), quantile).first() or {"mean": 0.0, "limit": float("inf")}
+    own = _limits(held.where("lang IS NOT NULL"), quantile).where(F.col("n") >= least).select("lang", "mean", "limit")
+    scored = scored.join(scratch.keep(own, "limits"), "lang", "left")
+    mean, limit = (F.coalesce(c, F.lit(float(pooled[c]))) for c in ("mean", "limit"))
+    scored = scored.withColumns({"excess": excess(F.col("nll"), F.col("n_symbols"), mean), "threshold": limit, "perplexity": F.exp("nll")})
     kept = F.when(F.col("n_symbols") == 0, F.lit(keep_empty)).otherwise(F.col("excess") <= F.col("threshold"))
-    scored = scored.withColumns({"excess": over, "threshold": limit, "perplexity": F.exp("nll")})
     return scored.select("doc_id", "lang", "n_symbols", "perplexity", "excess", "threshold", kept.alias("kept"))
 
 
-def _by_lang(limits: dict, k: int) -> Column:
-    out = None
-    for lang, pair in limits.items():
-        if lang is not None:
-            out = (F if out is None else out).when(F.col("lang") == lang, float(pair[k]))
-    rest = F.lit(float(limits[None][k]))
-    return rest if out is None else out.otherwise(rest)
-
-
 def keepers(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """docs without the rejected rows, all columns.
+    """docs without the rejected rows, all columns, whatever their names.
 
-    Rows that share a doc_id go together, and only if all are rejected.
+    Rows that share a doc_id go together, and only if all are rejected; rows
+    without doc_id stay.  An empty table stays empty.
     """
     return without(docs, classify(docs, labels, **how).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept"))
