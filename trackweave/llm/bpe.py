@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .common import only, small_batches
+from .common import only, small_batches, worker_cache
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -184,13 +184,12 @@ class Codec:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    """One codec for each file and Python worker."""
+    kept = worker_cache("bpe")
+    if path not in kept:
+        kept[path] = Codec(path)
+    return kept[path]
 
 
 def encode(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:

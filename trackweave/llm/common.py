@@ -58,6 +58,21 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator.
+
+    Spark uses a worker again for other operators' tasks; a cache goes when
+    such a task begins, so that their memory does not add up.
+    """
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
 class Scratch:
     """Named Parquet tables of one operator call."""
 

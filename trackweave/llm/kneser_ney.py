@@ -35,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hits, only, small_batches, without
+from .common import Scratch, hits, only, small_batches, without, worker_cache
 from .grams import blocks, segment_sums, texts_as_bytes
 
 ORDER = 4
 STEPS = 10_000
-CHUNK = 16 << 20  # bytes of text in a chunk
+CHUNK = 32 << 20  # bytes of text in a chunk
 CHUNKS = "chunk long, doc_ids array<long>, langs array<string>, sizes array<long>, texts binary, codes array<long>"
 SCORES = "doc_id long, lang string, n_symbols long, nll double"
 
@@ -73,6 +73,7 @@ def _inside(data, starts, ends):
 
 
 def _count(batches):
+    worker_cache("quality")
     held = None
     for batch in batches:
         for data, starts, ends, _ in blocks(texts_as_bytes(batch.column(1)), ORDER - 1):
@@ -129,7 +130,8 @@ def nats(codes: DataFrame, model: list[tuple[DataFrame, DataFrame]], scratch: Sc
 
 def _gather(batches):
     """Chunks of texts with the n-grams in them."""
-    task, number, codec = TaskContext.get().partitionId(), 0, pa.Codec("zstd")
+    worker_cache("quality")
+    task, number, codec = TaskContext.get().partitionId(), 0, pa.Codec("zstd", compression_level=9)
     ids, langs, texts, size = [], [], [], 0
 
     def out():

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hits, only, plain, small_batches
+from .common import Scratch, hits, only, plain, small_batches, worker_cache
 from .grams import texts_as_bytes
 
 ANCHOR = 16  # words of an anchor phrase
@@ -139,6 +139,7 @@ def _grouped(texts: list[bytes], size: int = 1 << 18):
 
 def _prints(window: int):
     def run(batches):
+        worker_cache("phrases")
         for batch in batches:
             ids, raw = batch.column(0), texts_as_bytes(batch.column(1))
             texts = [_joined(t) for t in raw]

@@ -15,6 +15,8 @@ from array import array
 import numpy as np
 import regex
 
+from .common import worker_cache
+
 # The fixed pre-token pattern of byte-level BPE files with use_regex.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -188,11 +190,9 @@ def in_parts(texts: list[str], size: int = 2_000_000):
         yield first, texts[first:]
 
 
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def encoder(path: str) -> LibraryEncoder:
     """One encoder for each file and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = LibraryEncoder(path)
-    return _ENCODERS[path]
+    kept = worker_cache("tokens")
+    if path not in kept:
+        kept[path] = LibraryEncoder(path)
+    return kept[path]
