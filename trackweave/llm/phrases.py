@@ -329,14 +329,12 @@ def analyse(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     held = named.select("id", "text").mapInArrow(_keyed, "id long, key long, words string").join(wanted, ["id", "key"])
     held = scratch.keep(held.dropDuplicates(["id", "key"]), "held")
     windows = held.select("id", "key", "words", "places").mapInArrow(_windows(window), "h1 long, h2 long, id long, place long")
-    owners = windows.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").select("h1", "h2", "owner")
-    owners = scratch.keep(owners, "owners")
-    placed = scratch.keep(windows.join(owners, ["h1", "h2"]).where("owner <= id"), "placed")
-    sources = placed.where("owner = id").groupBy("h1", "h2").agg(F.min("place").alias("source"))
-    spans = placed.where("owner < id").join(sources, ["h1", "h2"])
+    owners = windows.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("hi"), F.min_by("place", "id").alias("source"))
+    owners = scratch.keep(owners.where("owner < hi").drop("hi"), "owners")
+    spans = windows.join(owners, ["h1", "h2"]).where("owner < id")
     spans = spans.groupBy("id", F.shiftright("place", 32).alias("part")).agg(F.collect_list(F.struct("place", "owner", "source")).alias("found"))
     claims = scratch.keep(spans.mapInArrow(_claims(window), "id long, part long, owner long, begin long, end long"), "claims")
-    scratch.drop("repeated", "wanted", "owners", "placed")
+    scratch.drop("repeated", "wanted", "owners")
     texts = held.withColumn("part", _part(F.col("key"))).select("id", "key", "part", "words")
     asked = claims.select("owner", "begin", "end").distinct().groupBy("owner", F.shiftright("begin", 32).alias("part")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cut = texts.join(asked.withColumnRenamed("owner", "id"), ["id", "part"]).select("id", "words", "spans")
