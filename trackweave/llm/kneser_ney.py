@@ -40,7 +40,7 @@ from .grams import blocks, segment_sums, texts_as_bytes
 
 ORDER = 4
 STEPS = 10_000
-CHUNK = 32 << 20  # bytes of text in a chunk
+CHUNK = 16 << 20  # bytes of text in a chunk
 CHUNKS = "chunk long, doc_ids array<long>, langs array<string>, sizes array<long>, texts binary, codes array<long>"
 SCORES = "doc_id long, lang string, n_symbols long, nll double"
 
@@ -154,6 +154,29 @@ def _gather(batches):
         yield out()
 
 
+def _pack(batches, rows: int = 1 << 19):
+    """(chunk, packed): the answers to a chunk among so many rows, as a few large values and not as many small ones."""
+
+    def out():
+        chunk, code, worth = (np.concatenate(z) for z in zip(*held))
+        order = np.argsort(chunk, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(chunk[order]) != 0]))
+        parts = np.split(order, edges[1:])
+        packed = [code[at].astype("<u4").tobytes() + worth[at].astype("<f4").tobytes() for at in parts]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[order[edges]]), pa.array(packed, pa.binary())], ["chunk", "packed"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
+            size += batch.num_rows
+        if size >= rows:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
 def _score(batches):
     codec = pa.Codec("zstd")
     for batch in batches:
@@ -164,10 +187,12 @@ def _score(batches):
             ends_at = np.cumsum(sizes)
             texts = [data[b - n : b] for b, n in zip(ends_at.tolist(), sizes.tolist())]
             total = np.zeros(len(texts))
-            if answers.is_valid and len(answers.values):
-                code, worth = (answers.values.field(k).to_numpy() for k in range(2))
+            if answers.is_valid:
+                parts = answers.as_py()
+                code = np.concatenate([np.frombuffer(x, "<u4", len(x) // 8) for x in parts])
+                worth = np.concatenate([np.frombuffer(x, "<f4", len(x) // 8, len(x) // 2) for x in parts])
                 order = np.argsort(code)
-                code, worth = code[order].astype(np.uint32), worth[order].astype(np.float64)
+                code, worth = code[order], worth[order].astype(np.float64)
                 for piece, starts, ends, owners in blocks(texts, ORDER - 1):
                     at = np.minimum(np.searchsorted(code, grams(piece)), len(code) - 1)
                     np.add.at(total, owners, segment_sums(worth[at], starts, ends))
@@ -181,7 +206,8 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], scratch: Sc
     chunks = scratch.keep(rows.mapInArrow(_gather, CHUNKS), "chunks")
     asked = chunks.select("chunk", F.explode("codes").alias("code"))
     known = nats(scratch.keep(asked.select("code").distinct(), "asked"), model, scratch)
-    answers = asked.join(known, "code").groupBy("chunk").agg(F.collect_list(F.struct("code", "nats")).alias("answers"))
+    answers = asked.join(known, "code").select("chunk", "code", "nats").mapInArrow(_pack, "chunk long, packed binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list("packed").alias("answers"))
     both = chunks.select("chunk", "doc_ids", "langs", "sizes", "texts").join(answers, "chunk", "left")
     return both.select("doc_ids", "langs", "sizes", "texts", "answers").mapInArrow(_score, SCORES)
 
