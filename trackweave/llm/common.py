@@ -9,6 +9,7 @@ ends.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -94,6 +95,16 @@ class Scratch:
             _delete(self.spark, self.path(name))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark free the broadcasts and shuffle files of plans whose results are written.
+
+    It does so when the driver no longer holds the plans, which it only finds
+    out by collecting garbage; until then executors keep them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": f"{16 << 20}b"}
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hits, only, plain, small_batches, worker_cache
+from .common import Scratch, hits, only, plain, release, small_batches, worker_cache
 from .grams import texts_as_bytes
 
 ANCHOR = 16  # words of an anchor phrase
@@ -56,7 +56,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             step = np.full(size, b, np.uint64)
             step[0] = 1
             made.append(np.multiply.accumulate(step))
-        if size > 1 << 21:
+        if size > 1 << 19:  # longer texts are few
             return made[0], made[1]
         _POWERS[base] = made[0], made[1]
     return _POWERS[base]
@@ -335,6 +335,7 @@ def analyse(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     spans = spans.groupBy("id", F.shiftright("place", 32).alias("part")).agg(F.collect_list(F.struct("place", "owner", "source")).alias("found"))
     claims = scratch.keep(spans.mapInArrow(_claims(window), "id long, part long, owner long, begin long, end long"), "claims")
     scratch.drop("repeated", "wanted", "owners")
+    release(spark)
     texts = held.withColumn("part", _part(F.col("key"))).select("id", "key", "part", "words")
     asked = claims.select("owner", "begin", "end").distinct().groupBy("owner", F.shiftright("begin", 32).alias("part")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cut = texts.join(asked.withColumnRenamed("owner", "id"), ["id", "part"]).select("id", "words", "spans")
