@@ -16,7 +16,9 @@ One half of all trusted documents, by hash of doc_id, trains; the other gives
 the threshold of each language: a high quantile, so that nearly all clean text
 stays.  Short texts scatter more, so what is compared is the excess over the
 language's mean in units that suit the length.  Quantiles are taken of all
-held-out documents, with the excess in steps of 1 / STEPS.
+held-out documents, with the excess in steps of 1 / STEPS.  So few documents
+that none is expected beyond the quantile do not show it; theirs is the one of
+an exponential tail through their median and nine tenths, if that is higher.
 
 Rows: null or empty text has perplexity null and is rejected only if
 ``keep_empty`` is false.  Repeated rows are scored alike, null ids are carried
@@ -223,7 +225,11 @@ def _limits(held: DataFrame, quantile: float) -> DataFrame:
     over = held.join(means, "lang")
     over = over.withColumn("step", F.round(excess(F.col("nll"), F.col("n_symbols"), F.col("mean")) * STEPS))
     steps = over.groupBy("lang", "n", "mean", "step").agg(F.count("*").alias("times"))
-    return steps.groupBy("lang", "n", "mean").agg((F.percentile("step", F.lit(quantile), F.col("times")) / STEPS).alias("limit"))
+    at = lambda q: F.percentile("step", F.lit(q), F.col("times")) / STEPS
+    told = steps.groupBy("lang", "n", "mean").agg(at(quantile).alias("top"), at(0.9).alias("high"), at(0.5).alias("middle"))
+    tail = F.col("high") + (F.col("high") - F.col("middle")) * (np.log(0.1 / (1 - quantile)) / np.log(5.0))
+    unseen = F.col("n") * (1 - quantile) < 0.999
+    return told.select("lang", "n", "mean", F.when(unseen, F.greatest("top", tail)).otherwise(F.col("top")).alias("limit"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.999, least: int = 100, keep_empty: bool = True) -> DataFrame:
