@@ -407,7 +407,7 @@ FROM (SELECT squad_id, period_id, t, m, label, min(CASE WHEN label = o THEN d EN
     "c8_frames": sql(
         f"""SELECT squad_id, period_id, member_id, t, {r("x")}, {r("y")}, label
 FROM (SELECT {KEY}, utm_x - avg(utm_x) OVER w AS x, utm_y - avg(utm_y) OVER w AS y FROM moves WINDOW w AS (PARTITION BY squad_id, period_id, t))
-LEFT JOIN labels USING (squad_id, period_id, member_id, t) WHERE t % 100 = 0""",
+LEFT JOIN labels USING (squad_id, period_id, member_id, t)""",
         CLUSTERS,
     ),
     "r1_place_entropy": sql(

@@ -484,7 +484,7 @@ def c7_membership(spark, d):
 
 @query
 def c8_frames(spark, d):
-    return rounded(cluster.frames(moves(spark, d), dbscan(spark, d), 100).drop("prob"))
+    return rounded(cluster.frames(moves(spark, d), dbscan(spark, d), 0).drop("prob"))
 
 
 # ---- regularity ----
