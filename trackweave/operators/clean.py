@@ -43,9 +43,11 @@ def mask_outliers(df: DataFrame, columns: list[str], threshold: float = 0.99, ke
     missing value; a constant column is masked whole.
     """
     keys = keys or ["squad_id", "member_id"]
-    w, whole = Window.partitionBy(*keys).orderBy("t"), Window.partitionBy(*keys)
+    w = Window.partitionBy(*keys).orderBy("t")
     df = df.withColumns({f"_d_{c}": F.abs(F.col(c) - F.lag(c).over(w)) for c in columns})
-    df = df.withColumns({f"_q_{c}": F.percentile(f"_d_{c}", F.lit(threshold)).over(whole) for c in columns})
+    limits = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*[F.percentile(f"_d_{c}", F.lit(threshold)).alias(f"_q_{c}") for c in columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    df = df.join(limits, same).drop(*[f"_k_{k}" for k in keys])
     df = df.withColumns({c: F.when(F.col(f"_d_{c}") < F.col(f"_q_{c}"), F.col(c)) for c in columns})
     return df.drop(*[f"_{k}_{c}" for c in columns for k in "dq"])
 

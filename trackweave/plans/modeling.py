@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import regress
 
@@ -19,10 +18,11 @@ MOST = 20_000_000
 
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column less its median, over its interquartile range."""
-    w = Window.partitionBy(F.lit(1))
-    q = lambda c, p: F.percentile(c, F.lit(p)).over(w)
-    spread = {c: q(c, 0.75) - q(c, 0.25) for c in columns}
-    return df.withColumns({c: (F.col(c) - q(c, 0.5)) / F.when(spread[c] == 0, 1.0).otherwise(spread[c]) for c in columns})
+    parts = {"l": 0.25, "m": 0.5, "h": 0.75}
+    out = df.crossJoin(F.broadcast(df.agg(*[F.percentile(c, F.lit(p)).alias(f"_{k}_{c}") for c in columns for k, p in parts.items()])))  # one row
+    spread = {c: F.col(f"_h_{c}") - F.col(f"_l_{c}") for c in columns}
+    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(spread[c] == 0, 1.0).otherwise(spread[c]) for c in columns}
+    return out.withColumns(scaled).select(*df.columns)
 
 
 def zscored(df: DataFrame, columns: list[str]) -> DataFrame:
