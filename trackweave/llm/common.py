@@ -9,6 +9,7 @@ ends.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -17,6 +18,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,9 +73,27 @@ def worker_cache(owner: str) -> dict:
     if owner not in _KEPT:
         _KEPT.clear()
         _KEPT[owner] = {}
+        trim()
     return _KEPT[owner]
 
 
+def trim() -> None:
+    """Gives back what the allocators of a Python worker hold of freed memory.
+
+    A worker outlives its tasks and would keep it beside the next one's peak.
+    """
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give_back:
+        give_back(0)
+
+
+def trimmed(batches):
+    """The batches of a task; memory is trimmed when they end."""
+    yield from batches
+    trim()
+
+
 class Scratch:
     """Named Parquet tables of one operator call."""
 

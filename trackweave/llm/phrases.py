@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hits, only, plain, release, small_batches, worker_cache
+from .common import Scratch, hits, only, plain, release, small_batches, trim, trimmed, worker_cache
 from .grams import texts_as_bytes
 
 ANCHOR = 16  # words of an anchor phrase
@@ -140,7 +140,7 @@ def _grouped(texts: list[bytes], size: int = 1 << 18):
 def _prints(window: int):
     def run(batches):
         worker_cache("phrases")
-        for batch in batches:
+        for batch in trimmed(batches):
             ids, raw = batch.column(0), texts_as_bytes(batch.column(1))
             texts = [_joined(t) for t in raw]
             counts = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
@@ -176,7 +176,7 @@ def _prints(window: int):
 
 def _keyed(batches):
     """(id, key, words): the joined words of each text and the start of their digest."""
-    for batch in batches:
+    for batch in trimmed(batches):
         texts = [_joined(t) for t in texts_as_bytes(batch.column(1))]
         keys = [int.from_bytes(hashlib.sha256(t).digest()[:8], "little", signed=True) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "key", "words"])
@@ -187,7 +187,7 @@ def _windows(window: int):
 
     def run(batches):
         """(h1, h2, id, place) of windows around anchors; place holds a part of the key above 32 bits, see _part."""
-        for batch in batches:
+        for batch in trimmed(batches):
             ids, keys, places = (batch.column(k).to_pylist() for k in (0, 1, 3))
             for i, text in enumerate(texts_as_bytes(batch.column(2))):
                 words = word_hashes(text)
@@ -239,7 +239,7 @@ def _claims(window: int):
 
 def _cut(batches):
     """(owner, begin, end, phrase) from the joined words of the owners."""
-    for batch in batches:
+    for batch in trimmed(batches):
         out = []
         for i, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
             words = text.split(" ")
@@ -300,6 +300,8 @@ def _locate(window: int):
                     rows, size = [], 0
         if rows:
             yield shard(rows)
+        rows.clear()
+        trim()
 
     return run
 
