@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hits, only, small_batches, without, worker_cache
+from .common import Scratch, hits, only, small_batches, trimmed, without, worker_cache
 from .grams import blocks, segment_sums, texts_as_bytes
 
 ORDER = 4
@@ -77,7 +77,7 @@ def _inside(data, starts, ends):
 def _count(batches):
     worker_cache("quality")
     held = None
-    for batch in batches:
+    for batch in trimmed(batches):
         for data, starts, ends, _ in blocks(texts_as_bytes(batch.column(1)), ORDER - 1):
             codes, n = np.unique(_inside(data, starts, ends), return_counts=True)
             frame = pd.Series(n, index=codes)
@@ -143,7 +143,7 @@ def _gather(batches):
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], [c.split()[0] for c in CHUNKS.split(", ")])
 
-    for batch in batches:
+    for batch in trimmed(batches):
         for i, t, lang in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), batch.column(2).to_pylist()):
             if texts and size + len(t) > CHUNK:
                 yield out()
@@ -168,7 +168,7 @@ def _pack(batches, rows: int = 1 << 19):
         return pa.RecordBatch.from_arrays([pa.array(chunk[order[edges]]), pa.array(packed, pa.binary())], ["chunk", "packed"])
 
     held, size = [], 0
-    for batch in batches:
+    for batch in trimmed(batches):
         if batch.num_rows:
             held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
             size += batch.num_rows
@@ -181,7 +181,7 @@ def _pack(batches, rows: int = 1 << 19):
 
 def _score(batches):
     codec = pa.Codec("zstd")
-    for batch in batches:
+    for batch in trimmed(batches):
         for row in range(batch.num_rows):
             ids, langs, sizes, packed, answers = (batch.column(k)[row] for k in range(5))
             sizes = sizes.values.to_numpy()

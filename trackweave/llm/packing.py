@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, only, small_batches
+from .common import Scratch, only, small_batches, trimmed
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -98,7 +98,7 @@ def _cutter(path: str, capacity: int, end_id: int):
     def cut(batches):
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for first, part in tokens.in_parts(texts):
