@@ -190,9 +190,9 @@ def in_parts(texts: list[str], size: int = 2_000_000):
         yield first, texts[first:]
 
 
-def encoder(path: str) -> LibraryEncoder:
-    """One encoder for each file and Python worker."""
+def encoder(path: str, memo: int = 1_000_000) -> LibraryEncoder:
+    """One encoder for each file, size of memo and Python worker."""
     kept = worker_cache("tokens")
-    if path not in kept:
-        kept[path] = LibraryEncoder(path)
-    return kept[path]
+    if (path, memo) not in kept:
+        kept[path, memo] = LibraryEncoder(path, memo)
+    return kept[path, memo]
