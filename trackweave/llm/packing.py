@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import Scratch, only, small_batches, trimmed
 
+PART = 500_000  # characters that are encoded at once
 MEMO = 250_000  # chunks whose ids a worker keeps; packing may follow stages that left an executor little memory
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -102,7 +103,7 @@ def _cutter(path: str, capacity: int, end_id: int):
         for batch in trimmed(batches):
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, part in tokens.in_parts(texts):
+            for first, part in tokens.in_parts(texts, PART):
                 out: list[tuple] = []
                 for i, enc in enumerate(tokens.encoder(path, MEMO).encode(part), first):
                     data = enc + end
