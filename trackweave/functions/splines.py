@@ -7,20 +7,21 @@ import numpy as np
 
 def _solve5(d0: np.ndarray, d1: np.ndarray, d2: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Solves a symmetric positive definite pentadiagonal system; d1, d2 are the side diagonals."""
-    n = len(d0)
-    d, l1, l2, x = np.zeros(n), np.zeros(n), np.zeros(n), b.astype(float).copy()
+    a, b1, b2, x = d0.tolist(), [*d1.tolist(), 0.0], [*d2.tolist(), 0.0, 0.0], b.tolist()
+    n = len(a)
+    d, l1, l2 = [0.0] * n, [0.0] * (n + 1), [0.0] * (n + 2)  # l1[i] and l2[i] lead from i to the next and the one after
     for i in range(n):
-        d[i] = d0[i] - (l1[i - 1] ** 2 * d[i - 1] if i > 0 else 0) - (l2[i - 2] ** 2 * d[i - 2] if i > 1 else 0)
+        p, q = (d[i - 1], d[i - 2]) if i > 1 else (d[0] if i else 0.0, 0.0)
+        u, v = l1[i - 1] if i else 0.0, l2[i - 2] if i > 1 else 0.0
+        d[i] = a[i] - u * u * p - v * v * q
+        x[i] -= (u * x[i - 1] if i else 0.0) + (v * x[i - 2] if i > 1 else 0.0)
         if i + 1 < n:
-            l1[i] = (d1[i] - (l2[i - 1] * l1[i - 1] * d[i - 1] if i > 0 else 0)) / d[i]
+            l1[i] = (b1[i] - (l2[i - 1] * u * p if i else 0.0)) / d[i]
         if i + 2 < n:
-            l2[i] = d2[i] / d[i]
-    for i in range(n):
-        x[i] -= (l1[i - 1] * x[i - 1] if i > 0 else 0) + (l2[i - 2] * x[i - 2] if i > 1 else 0)
-    x /= d
+            l2[i] = b2[i] / d[i]
     for i in range(n - 1, -1, -1):
-        x[i] -= (l1[i] * x[i + 1] if i + 1 < n else 0) + (l2[i] * x[i + 2] if i + 2 < n else 0)
-    return x
+        x[i] = x[i] / d[i] - (l1[i] * x[i + 1] if i + 1 < n else 0.0) - (l2[i] * x[i + 2] if i + 2 < n else 0.0)
+    return np.array(x)
 
 
 class Spline:
@@ -137,30 +138,31 @@ class Path:
         half = (at - self.grid[i]) / 2
         return self.cum[i] + (self._speed(self.grid[i][..., None] + half[..., None] * (1 + node)) * weight).sum(-1) * half
 
-    def nearest(self, x: float, y: float, near: float | None = None, within: float | None = None) -> float:
-        """Parameter of the nearest point; of several valleys the one around ``near`` if within a distance of it."""
-        d = (self.gx - x) ** 2 + (self.gy - y) ** 2
+    def valley(self, x: float, y: float, near: float | None = None, within: float | None = None) -> int:
+        """Number of the grid point nearest to (x, y); only those within a distance of ``near`` if there are any."""
+        first, end = 0, len(self.grid)
         if near is not None and within is not None:
-            window = np.abs(self.grid - near) <= within
-            k = int(np.where(window, d, np.inf).argmin()) if window.any() else int(d.argmin())
-        else:
-            k = int(d.argmin())
-        lo, hi = self.grid[max(k - 1, 0)], self.grid[min(k + 1, len(self.grid) - 1)]
-        if k == 0:
-            lo = self.grid[0] - (self.grid[-1] - self.grid[0])
-        if k == len(self.grid) - 1:
-            hi = self.grid[-1] + (self.grid[-1] - self.grid[0])
-        t = self.grid[k]
+            a, b = np.searchsorted(self.grid, near - within), np.searchsorted(self.grid, near + within, side="right")
+            first, end = (a, b) if a < b else (first, end)
+        return int(first + ((self.gx[first:end] - x) ** 2 + (self.gy[first:end] - y) ** 2).argmin())
+
+    def refine(self, x: np.ndarray, y: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Parameters of the points nearest to many (x, y), each in the valley around its grid point k."""
+        grid, last, span = self.grid, len(self.grid) - 1, self.grid[-1] - self.grid[0]
+        lo = np.where(k == 0, grid[0] - span, grid[np.maximum(k - 1, 0)])
+        hi = np.where(k == last, grid[-1] + span, grid[np.minimum(k + 1, last)])
+        t, todo = grid[k], np.arange(len(k))
         for _ in range(50):  # Newton, kept within the valley by bisection
-            ex, ey = self.sx(t) - x, self.sy(t) - y
-            vx, vy = self.sx(t, 1), self.sy(t, 1)
+            at = t[todo]
+            ex, ey, vx, vy = self.sx(at) - x[todo], self.sy(at) - y[todo], self.sx(at, 1), self.sy(at, 1)
             g = ex * vx + ey * vy
-            lo, hi = (lo, t) if g > 0 else (t, hi)
-            curve = vx * vx + vy * vy + ex * self.sx(t, 2) + ey * self.sy(t, 2)
-            new = t - g / curve if curve > 0 else (lo + hi) / 2
-            if not lo <= new <= hi:
-                new = (lo + hi) / 2
-            if abs(new - t) <= 1e-12 * max(1.0, abs(t)):
-                return float(new)
-            t = new
-        return float(t)
+            a, b = np.where(g > 0, lo[todo], at), np.where(g > 0, at, hi[todo])
+            lo[todo], hi[todo] = a, b
+            curve = vx * vx + vy * vy + ex * self.sx(at, 2) + ey * self.sy(at, 2)
+            new = np.where(curve > 0, at - g / np.where(curve > 0, curve, 1.0), (a + b) / 2)
+            new = np.where((a <= new) & (new <= b), new, (a + b) / 2)
+            t[todo] = new
+            todo = todo[np.abs(new - at) > 1e-12 * np.maximum(1.0, np.abs(at))]
+            if not len(todo):
+                break
+        return t

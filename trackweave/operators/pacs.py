@@ -24,7 +24,8 @@ def transform(df: DataFrame, kind: str = "utm", s: float | None = None, path: np
     The path is a smoothing spline of the centroid's track over its arc
     length, or of ``path``, an n x 2 array.  The last sample of a period is
     left out, as are times at which a member is missing.  Nearest points
-    follow the one at the sample before.
+    follow the one at the sample before: the valleys are found tick by tick,
+    the points in them all at once.
     """
     x, y = coords(kind)
     s = s if s is not None else (100.0 if kind == "utm" else 1e-8)
@@ -46,14 +47,17 @@ def transform(df: DataFrame, kind: str = "utm", s: float | None = None, path: np
         rows = pdf.groupby("t").indices
         xy = pdf[[x, y]].to_numpy(float)
         members, last, home = pdf["member_id"].to_numpy(), {}, None
-        foot, base = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+        cell, tick, homes = np.full(len(pdf), -1), np.zeros(len(pdf), int), []
         for k, t in enumerate(sorted(rows)[:-1]):
-            home = curve.nearest(*smooth[k], home, reach)
+            homes.append(curve.valley(*smooth[k], home, reach))
+            home = curve.grid[homes[-1]]
             for i in rows[t]:
-                foot[i] = last[members[i]] = curve.nearest(*xy[i], last.get(members[i], home), reach)
-                base[i] = home
-        ok = np.isfinite(foot)
-        out, foot, base, xy = pdf[ok][KEY].copy(), foot[ok], base[ok], xy[ok]
+                cell[i], tick[i] = curve.valley(*xy[i], last.get(members[i], home), reach), k
+                last[members[i]] = curve.grid[cell[i]]
+        ok = cell >= 0
+        out, xy = pdf[ok][KEY].copy(), xy[ok]
+        foot = curve.refine(xy[:, 0], xy[:, 1], cell[ok])
+        base = curve.refine(smooth[: len(homes), 0], smooth[: len(homes), 1], np.array(homes))[tick[ok]]
         px, py = sx(foot), sy(foot)
         hx, hy = px - sx(foot - 1), py - sy(foot - 1)
         left = hx * (xy[:, 1] - py) - hy * (xy[:, 0] - px) > 0
