@@ -141,6 +141,18 @@ def test_group_stops(spark):
     assert [(r["arrival"], r["departure"]) for r in order] == [(2, 1), (1, 2)]
 
 
+def test_spans_over_many_buckets(spark):
+    rng = np.random.default_rng(5)
+    start = np.round(rng.uniform(0, 40_000, 60), 1)
+    rows = [("s", f"m{i % 4}", float(a), float(a + d), i) for i, (a, d) in enumerate(zip(start, rng.choice([5.0, 900.0, 3600.0, 15_000.0], 60)))]
+    stops = stops_table(spark, rows)
+    got = sorted((r["anchor"], r["stop_id"]) for r in breaks.overlaps(stops).collect())
+    assert got == sorted((a[4], b[4]) for a in rows for b in rows if b[2] < a[3] and a[2] < b[3])
+    fixes = spark.createDataFrame([("s", "a", float(t)) for t in range(0, 50_000, 500)], "squad_id string, member_id string, ts double")
+    inside = breaks.in_periods(fixes, stops.withColumnRenamed("stop_id", "period_id")).groupBy("period_id").count().collect()
+    assert {r["period_id"]: r["count"] for r in inside} == {r[4]: n for r in rows if (n := sum(r[2] <= t <= r[3] for t in range(0, 50_000, 500)))}
+
+
 def test_runs(spark):
     flags = spark.createDataFrame([("s", t, f) for t, f in enumerate([True, True, False, True])], "squad_id string, t int, f boolean")
     assert sorted(r["length"] for r in breaks.runs(flags, "f").collect()) == [1, 1, 2]
@@ -187,6 +199,19 @@ def test_pacs_on_a_straight_path(spark):
     assert pacs.transform(df).agg(F.max("t")).first()[0] == n - 2
 
 
+def test_pacs_on_a_circle(spark):
+    """Outside is to the right of a counter-clockwise path; lengths along it are arcs."""
+    turn = np.linspace(0, np.pi, 400)
+    line = 100 * np.stack([np.cos(turn), np.sin(turn)], 1)
+    at = np.linspace(0.5, 2.5, 60)
+    places = [(101, 0.0), (98, 0.0), (100, 0.1), (100, -0.1)]
+    df = track(spark, *[[(r * math.cos(a + ahead), r * math.sin(a + ahead)) for a in at] for r, ahead in places])
+    got = pacs.transform(df, s=0.0, path=line).toPandas()
+    assert len(got) == 4 * 59
+    for (r, ahead), (_, rows) in zip(places, got.groupby("member_id")):
+        assert np.allclose(rows.pacs_x, r - 100, atol=1e-3) and np.allclose(rows.pacs_y, 100 * ahead, atol=1e-3)
+
+
 def test_pacs_features(spark):
     p = track(spark, [(0, 0)], [(1, 9)], [(5, 1)]).withColumnsRenamed({"utm_x": "pacs_x", "utm_y": "pacs_y"})
     near = pacs.neighbours(p)

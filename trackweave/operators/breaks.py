@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry
 from ..schema import PERIOD, coords, metres
 
+BUCKET = 3600.0  # seconds; spans meet only in the buckets of time that they cover
 STOPS = "start_ts double, end_ts double, x double, y double"
 
 
@@ -56,13 +57,19 @@ def trajectory_stops(df: DataFrame, diameter: float = 100.0, duration: float = 1
     return ready.groupBy("squad_id", "member_id").applyInPandas(scan, f"squad_id {squad}, member_id {member}, {STOPS}")
 
 
+def _buckets(start: str, end: str) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(start) / BUCKET), F.floor(F.col(end) / BUCKET))).alias("_bucket")
+
+
 def overlaps(stops: DataFrame) -> DataFrame:
     """Each stop (anchor) with all stops of its squad that overlap it, itself included.
 
     Touching end to start is no overlap.  Stops need stop_id.
     """
-    a = stops.select("squad_id", F.col("stop_id").alias("anchor"), F.col("start_ts").alias("_s"), F.col("end_ts").alias("_e"))
-    return a.join(stops, "squad_id").where("start_ts < _e AND _s < end_ts").drop("_s", "_e")
+    a = stops.select("squad_id", F.col("stop_id").alias("anchor"), F.col("start_ts").alias("_s"), F.col("end_ts").alias("_e"), _buckets("start_ts", "end_ts"))
+    both = a.join(stops.select("*", _buckets("start_ts", "end_ts")), ["squad_id", "_bucket"]).where("start_ts < _e AND _s < end_ts")
+    first = F.floor(F.greatest("start_ts", "_s") / BUCKET)  # a pair counts in the first bucket that both cover
+    return both.where(F.col("_bucket") == first).drop("_bucket", "_s", "_e")
 
 
 def complete_sets(sets: DataFrame, members: DataFrame) -> DataFrame:
@@ -139,8 +146,9 @@ def move_periods(groups: DataFrame, recorded: DataFrame, shave: float = 60.0) ->
 
 def in_periods(df: DataFrame, periods: DataFrame, time: str = "ts") -> DataFrame:
     """Rows of each period, both ends included, with period_id and t from 0."""
-    p = periods.select("squad_id", "period_id", F.col("start_ts").alias("_a"), F.col("end_ts").alias("_b"))
-    joined = df.join(p, "squad_id").where(F.col(time).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    p = periods.select("squad_id", "period_id", F.col("start_ts").alias("_a"), F.col("end_ts").alias("_b"), _buckets("start_ts", "end_ts"))
+    joined = df.withColumn("_bucket", F.floor(F.col(time) / BUCKET)).join(p, ["squad_id", "_bucket"])
+    joined = joined.where(F.col(time).between(F.col("_a"), F.col("_b"))).drop("_bucket", "_a", "_b")
     return joined.withColumn("t", F.row_number().over(Window.partitionBy(*PERIOD, "member_id").orderBy(time)) - 1)
 
 
@@ -161,6 +169,17 @@ def rest_summary(rests: DataFrame, moves: DataFrame) -> DataFrame:
     )
 
 
+def rest_features(tracks: DataFrame, rests: DataFrame, moves: DataFrame) -> DataFrame:
+    """rest_summary of rest and movement periods, whose samples are the squad's times with a fix; tracks have ts."""
+    times = tracks.select("squad_id", "ts").distinct().withColumn("member_id", F.lit(0))
+
+    def sampled(periods: DataFrame) -> DataFrame:
+        return in_periods(times, periods).groupBy(*PERIOD).agg(F.count("*").alias("samples"))
+
+    counted = rests.select("squad_id", "period_id").join(sampled(rests), PERIOD, "left").fillna(0, subset=["samples"])
+    return rest_summary(counted, sampled(moves))
+
+
 def runs(flags: DataFrame, flag: str, keys: tuple[str, ...] = ("squad_id",)) -> DataFrame:
     """Maximal runs of one value of a flag: (keys, flag, run_start, length)."""
     rank = F.row_number().over(Window.partitionBy(*keys, flag).orderBy("t"))

@@ -186,6 +186,4 @@ def prepare(fixes: DataFrame, kind: str = "utm", threshold: float = 0.99, diamet
     raw = clean.halve_lone_period(breaks.in_periods(tracks, moves))
     spline = smooth.spline_smoothing(raw, kind, s)
     smoothed = clean.rolling_mean(spline, columns, moving_mean)
-    sampled = lambda p: tracks.select("squad_id", "ts").distinct().join(p, "squad_id").where("ts BETWEEN start_ts AND end_ts").groupBy("squad_id", "period_id").agg(F.count("*").alias("samples"))
-    counted = rests.select("squad_id", "period_id").join(sampled(rests), ["squad_id", "period_id"], "left").fillna(0, subset=["samples"])
-    return {"tracks": tracks, "stops": stops, "groups": groups, "raw": raw, "spline": spline, "smoothed": smoothed, "rests": breaks.rest_summary(counted, sampled(moves))}
+    return {"tracks": tracks, "stops": stops, "groups": groups, "raw": raw, "spline": spline, "smoothed": smoothed, "rests": breaks.rest_features(tracks, rests, moves)}

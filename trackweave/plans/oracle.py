@@ -84,7 +84,15 @@ sets AS (
   SELECT l.* FROM laps l
   JOIN (SELECT squad_id, anchor, count(DISTINCT member_id) AS k FROM laps GROUP BY 1, 2) USING (squad_id, anchor)
   JOIN (SELECT squad_id, count(DISTINCT member_id) AS n FROM whole GROUP BY 1) USING (squad_id) WHERE k = n),
-bounds AS (SELECT squad_id, anchor, min(start_ts) AS start_ts, max(end_ts) AS end_ts FROM sets GROUP BY 1, 2),
+ordered AS (
+  SELECT squad_id, list({'anchors': [anchor], 'stops': stops} ORDER BY anchor) AS every
+  FROM (SELECT squad_id, anchor, list(stop_id) AS stops FROM sets GROUP BY 1, 2) GROUP BY 1),
+greedy AS (
+  SELECT squad_id, list_reduce(every, lambda got, x: CASE WHEN list_has_any(got.stops, x.stops) THEN got
+           ELSE {'anchors': list_concat(got.anchors, x.anchors), 'stops': list_concat(got.stops, x.stops)} END).anchors AS anchors
+  FROM ordered),
+disjoint AS (SELECT s.* FROM sets s JOIN (SELECT squad_id, unnest(anchors) AS anchor FROM greedy) USING (squad_id, anchor)),
+bounds AS (SELECT squad_id, anchor, min(start_ts) AS start_ts, max(end_ts) AS end_ts FROM disjoint GROUP BY 1, 2),
 islands AS (
   SELECT squad_id, start_ts, end_ts, sum(CASE WHEN before IS NULL OR start_ts >= before THEN 1 ELSE 0 END)
            OVER (PARTITION BY squad_id ORDER BY start_ts, end_ts, anchor ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS g
@@ -93,6 +101,12 @@ grouped AS (SELECT squad_id, CAST(g AS INT) AS group_stop_id, min(start_ts) AS s
 spanned AS (SELECT squad_id, CAST(min(t) AS DOUBLE) AS a, CAST(max(t) AS DOUBLE) AS b FROM whole GROUP BY 1)
 """
 
+GAPS = """
+gaps AS (
+  SELECT squad_id, lag(e) OVER (PARTITION BY squad_id ORDER BY coalesce(s, e), e IS NULL) + 2 AS start_ts, s - 2 AS end_ts
+  FROM (SELECT squad_id, start_ts AS s, end_ts AS e FROM grouped UNION ALL SELECT squad_id, NULL, a FROM spanned UNION ALL SELECT squad_id, b, NULL FROM spanned))
+"""
+
 FLAGS = """
 rolled AS (
   SELECT squad_id, member_id, t, CASE WHEN count(*) OVER w = 10 THEN avg(utm_x) OVER w END AS x, CASE WHEN count(*) OVER w = 10 THEN avg(utm_y) OVER w END AS y
@@ -284,6 +298,7 @@ FROM (SELECT *, 'time' AS kind FROM moves WHERE tick BETWEEN 100 AND 140 UNION A
     ),
     "b2_overlaps": sql("SELECT squad_id, anchor, stop_id, member_id FROM laps", STOPS),
     "b3_complete_sets": sql("SELECT squad_id, anchor, stop_id, member_id FROM sets", STOPS),
+    "b4_disjoint_sets": sql("SELECT squad_id, anchor, stop_id, member_id FROM disjoint", STOPS),
     "b5_group_stops": sql("SELECT * FROM grouped", STOPS),
     "b6_stop_bounds": sql("SELECT * FROM bounds", STOPS),
     "b7_rest_periods": sql(
@@ -293,16 +308,26 @@ FROM whole w JOIN grouped g ON w.squad_id = g.squad_id AND w.tick BETWEEN g.star
     ),
     "b8_move_periods": sql(
         """SELECT squad_id, start_ts, end_ts, row_number() OVER (PARTITION BY squad_id ORDER BY start_ts) - 1 AS period_id
-FROM (SELECT squad_id, lag(e) OVER (PARTITION BY squad_id ORDER BY coalesce(s, e), e IS NULL) + 2 AS start_ts, s - 2 AS end_ts
-      FROM (SELECT squad_id, start_ts AS s, end_ts AS e FROM grouped UNION ALL SELECT squad_id, NULL, a FROM spanned UNION ALL SELECT squad_id, b, NULL FROM spanned))
-WHERE start_ts <= end_ts""",
+FROM gaps WHERE start_ts <= end_ts""",
         STOPS,
+        GAPS,
     ),
     "b9_arrival_order": sql(
         """SELECT squad_id, anchor, member_id, CAST(row_number() OVER (PARTITION BY squad_id, anchor ORDER BY s, member_id) AS INT) AS arrival,
   CAST(row_number() OVER (PARTITION BY squad_id, anchor ORDER BY e, member_id) AS INT) AS departure
-FROM (SELECT squad_id, anchor, member_id, min(start_ts) AS s, max(end_ts) AS e FROM sets GROUP BY 1, 2, 3)""",
+FROM (SELECT squad_id, anchor, member_id, min(start_ts) AS s, max(end_ts) AS e FROM disjoint GROUP BY 1, 2, 3)""",
+        STOPS,
+    ),
+    "a9_rest_summary": sql(
+        f"""SELECT squad_id, coalesce(rest_count, 0) AS rest_count, coalesce(rest_time, 0) AS rest_time,
+  {r("CASE WHEN moving > 0 THEN CAST(coalesce(rest_time, 0) AS DOUBLE) / CAST(moving AS DOUBLE) END", "rest_percent")}
+FROM (SELECT squad_id, CAST(sum((SELECT count(DISTINCT w.t) FROM whole w WHERE w.squad_id = m.squad_id AND w.t BETWEEN m.start_ts AND m.end_ts)) AS BIGINT) AS moving
+      FROM gaps m WHERE start_ts <= end_ts GROUP BY 1)
+LEFT JOIN (SELECT squad_id, count(*) AS rest_count,
+             CAST(sum((SELECT count(DISTINCT w.t) FROM whole w WHERE w.squad_id = g.squad_id AND w.t BETWEEN g.start_ts + 1 AND g.end_ts - 1)) AS BIGINT) AS rest_time
+           FROM grouped g GROUP BY 1) USING (squad_id)""",
         STOPS,
+        GAPS,
     ),
     "b10_velocity_slices": sql("SELECT squad_id, moving, run_start + 1 AS run_start, length - 2 AS length FROM runs WHERE length > 3", FLAGS),
     "b11_runs": sql("SELECT * FROM runs", FLAGS),

@@ -74,8 +74,17 @@ def slow_sets(spark: SparkSession, d: str) -> DataFrame:
     return breaks.complete_sets(breaks.overlaps(slow_stops(spark, d)), whole(spark, d).select("squad_id", "member_id").distinct())
 
 
+def disjoint_sets(spark: SparkSession, d: str) -> DataFrame:
+    return breaks.first_disjoint(slow_sets(spark, d))
+
+
 def slow_groups(spark: SparkSession, d: str) -> DataFrame:
-    return breaks.merge_overlapping(breaks.stop_bounds(slow_sets(spark, d)))
+    return breaks.group_stops(slow_stops(spark, d), whole(spark, d).select("squad_id", "member_id").distinct())
+
+
+def rests(spark: SparkSession, d: str) -> DataFrame:
+    groups, tracks = slow_groups(spark, d), whole(spark, d).withColumn("ts", F.col("t").cast("double"))
+    return breaks.rest_features(tracks, breaks.rest_periods(groups, 1.0), breaks.move_periods(groups, recorded(spark, d), 2.0))
 
 
 def recorded(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +229,7 @@ def b3_complete_sets(spark, d):
 
 @query
 def b4_disjoint_sets(spark, d):
-    return breaks.first_disjoint(slow_sets(spark, d)).select("squad_id", "anchor", "stop_id", "member_id")
+    return disjoint_sets(spark, d).select("squad_id", "anchor", "stop_id", "member_id")
 
 
 @query
@@ -230,7 +239,7 @@ def b5_group_stops(spark, d):
 
 @query
 def b6_stop_bounds(spark, d):
-    return breaks.stop_bounds(slow_sets(spark, d))
+    return breaks.stop_bounds(disjoint_sets(spark, d))
 
 
 @query
@@ -247,10 +256,15 @@ def b8_move_periods(spark, d):
 
 @query
 def b9_arrival_order(spark, d):
-    first = slow_sets(spark, d).groupBy("squad_id", "anchor", "member_id").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+    first = disjoint_sets(spark, d).groupBy("squad_id", "anchor", "member_id").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
     return breaks.arrival_order(first)
 
 
+@query
+def a9_rest_summary(spark, d):
+    return rounded(rests(spark, d))
+
+
 @query
 def b10_velocity_slices(spark, d):
     return breaks.velocity_slices(whole(spark, d), limit=0.6, longer=3, trim_move=1, trim_rest=1)
@@ -575,7 +589,7 @@ def a15_fit_quality(spark, d):
 def catalogue(spark: SparkSession, d: str):
     raw = moves(spark, d)
     smoothed = clean.rolling_mean(smooth.spline_smoothing(raw, s=30.0), XY, 10)
-    return features.feature_tables(raw, smoothed, pacs.transform(clean.complete_ticks(smoothed, "utm_x")))
+    return features.feature_tables(raw, smoothed, pacs.transform(clean.complete_ticks(smoothed, "utm_x")), rests(spark, d))
 
 
 @query
