@@ -186,27 +186,31 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return asked.where("NOT hit").union(left).drop("hit").toDF(*docs.columns)
 
 
-def _contract(batches):
-    """Links of one partition as a star forest (node, smallest node reached)."""
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    pdf = pd.concat(parts)
-    nodes, flat = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
-    half = len(pdf)
-    a, b = flat[:half], flat[half:]
-    root = np.arange(len(nodes))
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each index reaches by links (a, b), given those it reached before."""
+    root = root.copy()
     while True:  # hook the larger root to the smaller one, then jump pointers
         ra, rb = root[a], root[b]
         low, high = np.minimum(ra, rb), np.maximum(ra, rb)
         if (low == high).all():
-            break
+            return root
         np.minimum.at(root, high, low)
         while True:
             up = root[root]
             if (up == root).all():
                 break
             root = up
+
+
+def _contract(batches):
+    """Links of one partition as a star forest (node, smallest node reached)."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    pdf = pd.concat(parts)
+    nodes, flat = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
+    half = len(pdf)
+    root = joined(np.arange(len(nodes)), flat[:half], flat[half:])
     moved = root != np.arange(len(nodes))
     yield pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
 

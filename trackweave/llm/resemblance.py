@@ -1,8 +1,17 @@
-"""Near copies by the exact similarity of their word shingles.
+"""Near copies by SimHash, and by the exact similarity of their word shingles.
 
 Two documents link if the sets of their five-word shingles have a Jaccard
 similarity of at least 4/5; that is decided on the whole sets, by 64-bit
-hashes of the shingles.  Then they differ in a ninth of their sizes at most.
+hashes of the shingles.
+
+First come SimHash fingerprints of those sets.  Equal ones meet, and others by
+the Golay keys of ``simhash``; what meets in a whole key gives a forest of the
+nearest, each decided on the sets.  At this similarity fingerprints differ in
+ten bits of 64 on average, where keys that miss nothing do not select, so
+this finds a part of the links.  The rest is found in an exact way, and goes
+on from the components that fingerprints have joined.
+
+Similar sets differ in a ninth of their sizes at most.
 So all shingles are dealt to some more slots than that, by hash; sets that may
 link have the same shingles in one slot at least, whatever the rest is, and
 meet by a key of the slot and all that lies in it.  The number of slots goes
@@ -10,9 +19,7 @@ by a class of sizes; a set takes part in its own class and in the next one, as
 its partner can be in either.  An empty slot tells nothing and has no key,
 except for sets with so many of them that only empty ones may be left equal.
 A passage that very many texts share is a part of many slots but hardly ever
-all that lies in one, so that those texts do not meet.  Fingerprints of 64
-bits cannot be the filter: at this similarity they differ in ten bits of 64 on
-average, where a pigeonhole has no selective part left.
+all that lies in one, so that those texts do not meet.
 
 Pairs that meet are first held against parity sketches, a bit or two for each
 shingle: sets differ in at least as many shingles as their sketches differ in
@@ -20,10 +27,14 @@ bits, so no link is lost there.  Only what passes is decided on the sets, and
 only their texts are read again.
 
 Connected components are what matters, so where many meet in one key, members
-are first checked against some leaders, and what links becomes one component.  Then the members of different components are compared
-by their sketches, all that meet in a key, in blocks of bounded size.  First
-each member's nearest few are decided, as long as that links any; at last all
-pairs that are left between components and that pass.
+are first checked against some leaders, and what links becomes one component.
+Then members of different components are compared by their sketches, all that
+meet in a key, in blocks of bounded size.  A block names no pairs, which are
+many times more than its members and come again in each key they share, but a
+forest of those that pass.  Its trees, over all keys, are clumps, outside of
+which nothing is left to link.  All of a clump meets with its sets, again in
+blocks; there each pair of different components that passes is decided until
+they are joined, and a forest of what is joined is told.
 
 Rows: texts without words are equal to each other; a text of fewer words than
 a shingle is one shingle.  Repeated rows are copies.  A row without doc_id is
@@ -34,7 +45,6 @@ gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from bisect import bisect_right
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +52,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, hits, only, release, small_batches, trimmed, without, worker_cache
+from . import simhash
+from .common import Scratch, components, hits, joined, only, release, small_batches, trimmed, without, worker_cache
 
 WHOLE = 4  # so many pairs for each row are checked at once
 FEW = 8  # members of a key that are paired off at once
-BLOCK = 4096  # members of a block; blocks of a crowded key are compared pair by pair
+BLOCK = 4096  # members of a block; blocks of a crowded key or clump are compared pair by pair
+BYTES = 1 << 24  # of the sets of a clump's block
+RADIUS = 18  # bits in which fingerprints that meet by Golay keys may differ: ten on average at similarity 0.8, hardly more
 NOBODY = -(1 << 63)  # stands for a null doc_id
 
 
@@ -94,13 +107,21 @@ def may_be_similar(a: bytes, b: bytes, n: int) -> bool:
     return 9 * int(np.bitwise_count(x ^ y).sum()) <= n
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
 def _prints(batches):
     worker_cache("shingles")
     for batch in trimmed(batches):
         sets = _sets(batch)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(map(_name, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())],
-            ["doc_id", "cls", "size", "sketch"],
+            [batch.column(0), pa.array(map(_name, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary()), pa.array(map(fingerprint, sets), pa.int64())],
+            ["doc_id", "cls", "size", "sketch", "fp"],
         )
 
 
@@ -225,16 +246,20 @@ def _ends(pairs: DataFrame, values: DataFrame, names: str) -> DataFrame:
     return pairs
 
 
-def _decided(met: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs met (u, v) that are similar, by their sketches and then by their sets."""
-    told = _ends(met, classes, "sketch size").select("u", "v", "sketch0", "sketch1", (F.col("size0") + F.col("size1")).alias("n"))
-    passed = scratch.keep(told.mapInArrow(_sketched, "u long, v long"), f"passed-{name}")
-    needed = passed.select(F.col("u").alias("cls")).union(passed.select("v")).distinct()
+def _sets_of(needed: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(cls, hashes) of the classes needed (cls); only their texts are read again."""
     needed = scratch.keep(needed.join(classes.select("cls", F.coalesce("least", F.lit(NOBODY)).alias("id")), "cls"), f"needed-{name}")
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY))
     rows = hits(texts, F.xxhash64(own), needed.select(F.xxhash64("id").alias("h")), scratch, f"bits-{name}").where("hit").select("doc_id", "text")
     sets = rows.mapInArrow(_named_sets, "cls long, hashes binary").join(needed.select("cls"), "cls", "left_semi")
-    sets = scratch.keep(sets.groupBy("cls").agg(F.any_value("hashes").alias("hashes")), f"sets-{name}")
+    return scratch.keep(sets.groupBy("cls").agg(F.any_value("hashes").alias("hashes")), f"sets-{name}")
+
+
+def _decided(met: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs met (u, v) that are similar, by their sketches and then by their sets."""
+    told = _ends(met, classes, "sketch size").select("u", "v", "sketch0", "sketch1", (F.col("size0") + F.col("size1")).alias("n"))
+    passed = scratch.keep(told.mapInArrow(_sketched, "u long, v long"), f"passed-{name}")
+    sets = _sets_of(passed.select(F.col("u").alias("cls")).union(passed.select("v")).distinct(), classes, texts, scratch, name)
     return scratch.keep(_ends(passed, sets, "hashes").select("u", "v", "hashes0", "hashes1").mapInArrow(_verify, "u long, v long"), f"links-{name}")
 
 
@@ -244,102 +269,171 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in sketches])
 
 
-def nearest(small: np.ndarray, apart: np.ndarray, top: int) -> np.ndarray:
-    """Which pairs are among the ``top`` nearest ones of their member ``small``."""
-    order = np.lexsort((apart, small))
-    first = np.flatnonzero(np.concatenate([[True], np.diff(small[order]) != 0]))
-    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    return order[rank < top]
+def _crossing(size: np.ndarray, root: np.ndarray, bits: np.ndarray, one: np.ndarray, two: np.ndarray):
+    """Part by part, (p, q, bits apart) of members of one and of two whose roots differ and whose sketches may be similar."""
+    for a in range(0, len(one), 256):
+        i, part = one[a : a + 256], [np.zeros((3, 0), np.int64)]
+        ok = (root[i][:, None] != root[two]) & (5 * np.minimum(size[i][:, None], size[two]) >= 4 * np.maximum(size[i][:, None], size[two]))
+        x, y = np.nonzero(ok & (i[:, None] < two) if one is two else ok)
+        for at in range(0, len(x), 1 << 16):
+            p, q = i[x[at : at + (1 << 16)]], two[y[at : at + (1 << 16)]]
+            apart = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)
+            near = 9 * apart <= size[p] + size[q]
+            part.append(np.stack([p[near], q[near], apart[near]]))
+        yield np.concatenate(part, axis=1)
 
 
-def _compare_blocks(batches, top: int):
-    """Pairs (u, v) of different components that may be similar; rows come sorted by key and blocks.
-
-    top: so many pairs for each member, the nearest by sketch, counted at the
-    end whose component has fewer members here; 0: all.
-    """
-
-    def of(rows: list[tuple]):
-        block, cls, size, root = np.array([r[3:7] for r in rows], np.int64).T
-        bits, alike = folded([r[7] for r in rows]), rows[0][1] == rows[0][2]
-        one, two = np.flatnonzero(block == rows[0][1]), np.flatnonzero(block == rows[0][2])
-        met = [np.zeros((3, 0), np.int64)]
-        for a in range(0, len(one), 256):
-            i = one[a : a + 256]
-            ok = (root[i][:, None] != root[two]) & (5 * np.minimum(size[i][:, None], size[two]) >= 4 * np.maximum(size[i][:, None], size[two]))
-            x, y = np.nonzero(ok & (i[:, None] < two) if alike else ok)
-            for at in range(0, len(x), 1 << 16):
-                p, q = i[x[at : at + (1 << 16)]], two[y[at : at + (1 << 16)]]
-                apart = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)
-                near = 9 * apart <= size[p] + size[q]
-                met.append(np.stack([p[near], q[near], apart[near]]))
-        p, q, apart = np.concatenate(met, axis=1)
-        if top and len(p):
-            _, which, n = np.unique(root, return_inverse=True, return_counts=True)
-            kept = nearest(np.where(n[which[p]] <= n[which[q]], p, q), apart, top)
-            p, q = p[kept], q[kept]
-        yield np.sort(np.stack([cls[p], cls[q]], 1), axis=1)
+def _block_pairs(batches, of):
+    """A star forest (u, v) of what of(rows) joins in each group and pair of blocks (first three columns), by which rows come sorted."""
 
     def out(found):
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        nodes, flat = np.unique(np.concatenate(found), return_inverse=True)
+        root = joined(np.arange(len(nodes)), *flat.reshape(-1, 2).T)
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["u", "v"])
 
     rows, found, size = [], [], 0
     for batch in trimmed(batches):
         for r in zip(*(c.to_pylist() for c in batch.columns)):
             if rows and r[:3] != rows[0][:3]:
-                found += of(rows)
-                rows = []
-                if (size := sum(map(len, found))) > 1 << 18:
+                found.append(of(rows))
+                rows, size = [], size + len(found[-1])
+                if size > 1 << 18:
                     yield out(found)
-                    found = []
+                    found, size = [], 0
             rows.append(r)
     if rows:
-        found += of(rows)
+        found.append(of(rows))
     if found:
         yield out(found)
 
 
-def _between(members: DataFrame, spread: DataFrame, classes: DataFrame, top: int) -> DataFrame:
-    """Pairs (u, v) of members of one key and different roots whose sketches may be similar."""
-    blocks = F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks")
-    here = members.join(spread.select("key", blocks), "key").join(classes.select("cls", "sketch"), "cls")
-    here = here.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+def _ends_of(block: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of the two blocks; the same array if they are one."""
+    one = np.flatnonzero(block == low)
+    return one, one if low == high else np.flatnonzero(block == high)
+
+
+def _clump_blocks(batches):
+    """A forest (u, v) of the pairs of a key that have different roots and may be similar by their sketches."""
+
+    def of(rows: list[tuple]) -> np.ndarray:
+        block, cls, size, root = np.array([r[3:7] for r in rows], np.int64).T
+        reached, bits = np.arange(len(rows)), folded([r[7] for r in rows])
+        for p, q, _ in _crossing(size, root, bits, *_ends_of(block, *rows[0][1:3])):
+            reached = joined(reached, p, q)
+        moved = np.flatnonzero(reached != np.arange(len(rows)))
+        return np.stack([cls[moved], cls[reached[moved]]], 1)
+
+    return _block_pairs(batches, of)
+
+
+def _link_blocks(batches):
+    """A forest (u, v) of what the similar pairs of a clump join; all pairs of different roots are decided that may be
+    similar and that no link found before joins, the nearest first."""
+
+    def of(rows: list[tuple]) -> np.ndarray:
+        block, cls, root = np.array([r[3:6] for r in rows], np.int64).T
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        up = np.unique(root, return_inverse=True)[1].tolist()  # a root for each member, and from there on
+        size, own = np.array(list(map(len, sets)), np.int64), list(up)
+        up, found = list(range(max(up) + 1)), [np.zeros((0, 2), np.int64)]
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for part in _crossing(size, root, folded(list(map(sketch, sets))), *_ends_of(block, *rows[0][1:3])):
+            for p, q in part[:2, np.argsort(part[2], kind="stable")].T.tolist():
+                a, b = top(own[p]), top(own[q])
+                if a != b and similar(sets[p], sets[q]):
+                    up[max(a, b)] = min(a, b)
+                    found.append(cls[[[p, q]]])
+        return np.concatenate(found)
+
+    return _block_pairs(batches, of)
+
+
+def _in_blocks(members: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Members of groups of so many blocks, dealt by (group, low, high), in order of cls: each pair of blocks meets once."""
+    here = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     here = here.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    here = here.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "size", "root", "sketch")
-    dealt = here.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(partial(_compare_blocks, top=top), "u long, v long").distinct()
+    here = here.select(group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *columns)
+    return here.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high", "cls")
+
 
+def _between(members: DataFrame, spread: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """A forest (u, v) of what is similar of members that meet in a key and have different roots.
 
-def _linked(met: DataFrame, classes: DataFrame, texts: DataFrame, rows: int, scratch: Scratch, rounds: int = 6) -> DataFrame:
-    """Verified links (u, v) that span every component; met: what _groups gives."""
-    pairs = scratch.keep(met.where("paired").select("u", "v").distinct(), "pairs")
-    links = _decided(pairs, classes, texts, scratch, "few")
+    Clumps are joined by pairs that may be similar, whatever their key, so
+    that each class comes with its set once and not key by key.
+    """
+    blocks = F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks")
+    here = members.join(spread.select("key", blocks), "key").join(classes.select("cls", "sketch"), "cls")
+    near = _in_blocks(here, "key", "cls", "size", "root", "sketch").mapInArrow(_clump_blocks, "u long, v long").distinct()
+    clumps = components(scratch.keep(near, "near"), scratch).select(F.col("node").alias("cls"), F.col("root").alias("clump"))
+    clumps = scratch.keep(clumps.union(clumps.select(F.col("clump").alias("cls"), "clump")).distinct(), "clumps")
+    sets = _sets_of(clumps.select("cls"), classes, texts, scratch, "clumps")
+    roots = scratch.keep(members.select("cls", "root").distinct(), "roots")
+    here = clumps.join(roots, "cls").join(sets, "cls")
+    blocks = F.expr(f"int(greatest(ceil(count(*) / {BLOCK}), ceil(sum(length(hashes)) / {BYTES})))").alias("blocks")
+    here = here.join(here.groupBy("clump").agg(blocks), "clump")
+    return scratch.keep(_in_blocks(here, "clump", "cls", "root", "hashes").mapInArrow(_link_blocks, "u long, v long"), "links-blocks")
+
+
+def _by_fingerprint(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of classes that SimHash brings together: equal fingerprints, and those that Golay keys link."""
+    first = scratch.keep(classes.groupBy("fp").agg(F.min("cls").alias("first")), "prints-first")
+    found = scratch.keep(simhash.links(first, scratch, RADIUS), "prints-links")
+    scratch.drop("keys", "longer")
+    for end in "uv":
+        found = found.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}1")), end)
+    same = classes.join(first, "fp").select(F.col("first").alias("u"), F.col("cls").alias("v")).where("u < v")
+    return found.select(F.least("u1", "v1").alias("u"), F.greatest("u1", "v1").alias("v")).union(same).distinct()
+
+
+def _forest(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Links (u, v) from every class to the root of its component; they span what the links so far do."""
+    return scratch.keep(components(links, scratch).toDF("u", "v"), f"forest-{name}")
+
+
+def _rooted(bare: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(forest of the links, members with their root, keys with several roots, pairs of different roots in them)."""
+    forest = _forest(links, scratch, name)
+    members = bare.join(forest.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    members = scratch.keep(members, f"members-{name}")
+    spread = members.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("s"))
+    spread = scratch.keep(spread.select("key", "n", F.expr("(n * n - s) div 2").alias("cross")).where("cross > 0"), f"open-{name}")
+    return forest, members, spread, spread.agg(F.sum("cross")).first()[0] or 0
+
+
+def _linked(met: DataFrame, classes: DataFrame, texts: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) that span every component, by verified ones; met: what _groups gives."""
+    links = _decided(_by_fingerprint(classes, scratch), classes, texts, scratch, "prints")
+    roots = _forest(links, scratch, "prints")
+    pairs = met.where("paired").select("u", "v").distinct()
+    for end in "uv":  # what fingerprints have joined already need not be decided
+        pairs = pairs.join(roots.select(F.col("u").alias(end), F.col("v").alias(f"{end}1")), end, "left")
+    pairs = pairs.where(F.coalesce("u1", "u") != F.coalesce("v1", "v")).select("u", "v")
+    links = roots.union(_decided(scratch.keep(pairs, "pairs"), classes, texts, scratch, "few"))
+    release(texts.sparkSession)
     bare = met.where("NOT paired").select("key", F.col("u").alias("cls"), "size")
-    fruitful = True
-    for step in range(rounds):
-        roots = components(links, scratch).withColumnRenamed("node", "cls")
-        members = scratch.keep(bare.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), f"members-{step}")
-        spread = members.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("s"))
-        spread = scratch.keep(spread.select("key", "n", F.expr("(n * n - s) div 2").alias("cross")).where("cross > 0"), f"open-{step}")
-        cross = spread.agg(F.sum("cross")).first()[0] or 0
-        last = cross <= WHOLE * rows or not fruitful or step == rounds - 1
-        if not step and not last:  # each against up to 4 leaders
-            here = members.join(spread.select("key"), "key")
-            turn = F.xxhash64("cls", F.pmod("key", F.lit(4)), F.lit(step))
-            other = here.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "cls", "size", "root")).alias("x"))
-            other = other.select("key", *[F.col(f"x.{c}").alias(f"_{c}") for c in ("cls", "size", "root")])
-            near = here.join(other, "key").where((F.col("root") != F.col("_root")) & _close("size", "_size"))
-            near = near.select(F.least("cls", "_cls").alias("u"), F.greatest("cls", "_cls").alias("v")).distinct()
-        else:
-            near = _between(members, spread, classes, 0 if last else 4)
-        new = _decided(scratch.keep(near, f"met-{step}"), classes, texts, scratch, str(step))
-        forest = roots.select(F.col("cls").alias("u"), F.col("root").alias("v"))  # spans what the links so far did
-        links = scratch.keep(forest, f"forest-{step}").union(new)
+    forest, members, spread, cross = _rooted(bare, links, scratch, "few")
+    if cross > WHOLE * rows:  # each against up to 4 leaders
+        here = members.join(spread.select("key"), "key")
+        turn = F.xxhash64("cls", F.pmod("key", F.lit(4)))
+        other = here.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "cls", "size", "root")).alias("x"))
+        other = other.select("key", *[F.col(f"x.{c}").alias(f"_{c}") for c in ("cls", "size", "root")])
+        near = here.join(other, "key").where((F.col("root") != F.col("_root")) & _close("size", "_size"))
+        near = near.select(F.least("cls", "_cls").alias("u"), F.greatest("cls", "_cls").alias("v")).distinct()
+        links = forest.union(_decided(scratch.keep(near, "met-leaders"), classes, texts, scratch, "leaders"))
+        release(texts.sparkSession)
+        forest, members, spread, cross = _rooted(bare, links, scratch, "leaders")
+    if cross:
+        links = forest.union(_between(members, spread, classes, texts, scratch))
         release(texts.sparkSession)
-        if last:
-            return links
-        fruitful = not step or not new.isEmpty()
+    return links
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -347,8 +441,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "resemblance")
     texts = only(docs, "doc_id", "text")
-    prints = scratch.keep(texts.mapInArrow(_prints, "doc_id long, cls long, size long, sketch binary"), "prints")
-    grouped = prints.groupBy("cls").agg(F.min("doc_id").alias("least"), *[F.any_value(c).alias(c) for c in ("size", "sketch")])
+    prints = scratch.keep(texts.mapInArrow(_prints, "doc_id long, cls long, size long, sketch binary, fp long"), "prints")
+    grouped = prints.groupBy("cls").agg(F.min("doc_id").alias("least"), *[F.any_value(c).alias(c) for c in ("size", "sketch", "fp")])
     classes = scratch.keep(grouped, "classes")
     dealt = texts.mapInArrow(_keyed, "key long, cls long, size long").repartition("key").sortWithinPartitions("key", "cls")
     met = scratch.keep(dealt.mapInArrow(_groups(FEW), "paired boolean, key long, u long, v long, size long"), "met")

@@ -19,6 +19,8 @@ component.  An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -107,7 +109,10 @@ def _emit_longer(batches):
 
 
 def near_pairs(m: np.ndarray, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of links among distinct fingerprints that span the components of all of them."""
+    """Indices of links among distinct fingerprints that span the components of all of them.
+
+    Beyond two bits the nearest come first, and of more than 64 fingerprints only those within two bits are told.
+    """
     if len(m) <= 64:
         x, y = np.triu_indices(len(m), 1)
     else:  # any two within two bits share a word one bit away; there all meet the smallest
@@ -117,15 +122,18 @@ def near_pairs(m: np.ndarray, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
         who = order // 65
         x = who[np.flatnonzero(first)][np.cumsum(first) - 1]
         x, y = x[~first], who[~first]
-    ok = np.bitwise_count(m[x] ^ m[y]) <= most
+    apart = np.bitwise_count(m[x] ^ m[y])
+    ok = np.flatnonzero(apart <= most)
+    if most > 2:
+        ok = ok[np.argsort(apart[ok], kind="stable")]
     return x[ok], y[ok]
 
 
-def spanning(m: np.ndarray) -> list[tuple[int, int]]:
+def spanning(m: np.ndarray, most: int = 2) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints."""
     up = list(range(len(m)))
     out = []
-    for a, b in zip(*(z.tolist() for z in near_pairs(m))):
+    for a, b in zip(*(z.tolist() for z in near_pairs(m, most))):
         ra, rb = a, b
         while up[ra] != ra:
             up[ra] = ra = up[up[ra]]
@@ -137,17 +145,17 @@ def spanning(m: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(batches):
+def _verify(batches, most: int = 2):
     """Links of each key; rows come sorted by key, and a key may reach over batches."""
 
     def of(keys: np.ndarray, fps: np.ndarray):
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(edge, len(keys)))
         at = edge[size == 2]  # most keys
-        ok = np.bitwise_count(fps[at] ^ fps[at + 1]) <= 2
+        ok = np.bitwise_count(fps[at] ^ fps[at + 1]) <= most
         us, vs = [fps[at[ok]]], [fps[at[ok] + 1]]
         for a, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
-            if links := spanning(fps[a : a + n]):
+            if links := spanning(fps[a : a + n], most):
                 x, y = np.array(links).T
                 us.append(fps[a + x])
                 vs.append(fps[a + y])
@@ -166,10 +174,12 @@ def _verify(batches):
         yield of(*held)
 
 
-def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
+def links(classes: DataFrame, scratch: Scratch, most: int = 2) -> DataFrame:
     """Links (u, v) between distinct fingerprints fp at two or fewer bits.
 
-    They span every component of the full link graph; each is verified.
+    They span every component of the full link graph; each is verified.  With
+    a larger ``most`` they also take in what meets in a whole key and differs
+    in so many bits, which is part of all such pairs only.
     """
     keyed = scratch.keep(classes.select("fp").mapInArrow(_emit_keys, "key long, fp long"), "keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -177,7 +187,7 @@ def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
     longer = scratch.keep(longer, "longer")
     shared = longer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = longer.join(shared, "key").select("key", "fp")
-    return met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_verify, "u long, v long").distinct()
+    return met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_verify, most=most), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, seed: int = 42) -> DataFrame:
