@@ -40,7 +40,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of what is left; the last stage."""
-    return packing.pack(docs, capacity=1024, end_id=2)
+    return packing.pack(docs, capacity=1024, end_id=2, lean=True)
 
 
 STAGES = [

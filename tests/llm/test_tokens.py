@@ -176,3 +176,10 @@ def test_block_documents(library):
     assert [x for names, _ in block.documents(2) for x in names] == [None, 7, 9]
     assert np.concatenate([np.diff(at) for _, at in block.documents(2)]).tolist() == [len(b) // 4 for b in ids]
     assert [block.document(i).astype("<u4").tobytes() for i in range(3)] == ids
+
+
+def test_lean_packing_is_the_same(spark):
+    """Smaller parts and memo, as the pipeline takes them, give the same pieces."""
+    docs = documents(spark)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(str, packing.pack(docs, lean=True).select(columns).collect())) == sorted(map(str, packing.pack(docs).select(columns).collect()))

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import Scratch, only, small_batches, trimmed
 
-PART = 500_000  # characters that are encoded at once
-MEMO = 250_000  # chunks whose ids a worker keeps; packing may follow stages that left an executor little memory
+PART = 2_000_000  # characters that are encoded at once
+MEMO = 1_000_000  # chunks whose ids a worker keeps
+LEAN = 4  # part of both that is left where packing follows stages that left an executor little memory
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -94,7 +95,7 @@ def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "each", "sequence", "place"), cols))
 
 
-def _cutter(path: str, capacity: int, end_id: int):
+def _cutter(path: str, capacity: int, end_id: int, share: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
@@ -103,9 +104,9 @@ def _cutter(path: str, capacity: int, end_id: int):
         for batch in trimmed(batches):
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, part in tokens.in_parts(texts, PART):
+            for first, part in tokens.in_parts(texts, PART // share):
                 out: list[tuple] = []
-                for i, enc in enumerate(tokens.encoder(path, MEMO).encode(part), first):
+                for i, enc in enumerate(tokens.encoder(path, MEMO // share).encode(part), first):
                     data = enc + end
                     n = len(data) // 4
                     head = n % capacity or capacity
@@ -140,12 +141,15 @@ def _placer(table: dict[str, np.ndarray], capacity: int):
     return place
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """One row per piece, with its sequence and its place there (see RESULT)."""
+def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = 1024, end_id: int = 2, lean: bool = False) -> DataFrame:
+    """One row per piece, with its sequence and its place there (see RESULT).
+
+    lean: workers take less memory and more time; the rows are the same.
+    """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "packing")
-    cut = only(docs, "doc_id", "text").mapInArrow(_cutter(tokenizer or tokens.default_path(), capacity, end_id), PIECES)
+    cut = only(docs, "doc_id", "text").mapInArrow(_cutter(tokenizer or tokens.default_path(), capacity, end_id, LEAN if lean else 1), PIECES)
     pieces = scratch.keep(cut, "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     by_task = scratch.keep(by_task, "counts")
